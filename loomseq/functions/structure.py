@@ -127,6 +127,33 @@ def mask_cells(df: DataFrame, *, marker_id: int, pad_id: int | None, tokens: str
     return s.withColumn(out, F.transform(tokens, cell)).select(*df.columns, out)
 
 
+def with_key_lists(df: DataFrame, *, marker_id: int, pad_id: int | None, tokens: str = "tokens",
+                   out: str = "keys") -> DataFrame:
+    """Admitted keys of every query under :func:`marker_mask`, sorted.
+
+    Built from the runs (a document's markers so far, then the own run), so the
+    work is the size of the output and no pair is tested.
+    """
+    t = F.col(tokens)
+    none = F.array().cast("array<int>")
+    cut = (
+        df.withColumn("__mark", positions_of(t, marker_id))
+        .withColumn("__doc", _runs(_from_zero(_after(positions_of(t, pad_id))), F.size(t)))
+        .withColumn("__doc", F.transform("__doc", lambda d: F.struct(
+            d["start"].alias("start"), d["len"].alias("len"),
+            F.filter("__mark", lambda m: (m >= d["start"]) & (m < d["start"] + d["len"])).alias("marks"))))
+        .withColumn("__run", F.flatten(F.transform("__doc", lambda d: F.transform(
+            _runs(F.concat(F.array(d["start"]), _after(d["marks"])), d["start"] + d["len"]),
+            lambda r, j: F.struct(r["start"].alias("start"), r["len"].alias("len"),
+                                  F.slice(d["marks"], F.lit(1), j).alias("before"))))))
+    )
+    asks = F.lit(True) if pad_id is None else None
+    keys = lambda r, q: F.concat(r["before"], F.sequence(r["start"], q))
+    one = lambda r, q: keys(r, q) if asks is not None else F.when(F.get(t, q) == pad_id, none).otherwise(keys(r, q))
+    return cut.withColumn(out, F.flatten(F.transform("__run", lambda r: F.transform(
+        count_up(r["start"], r["len"]), lambda q: one(r, q))))).select(*df.columns, out)
+
+
 def allowed_keys(cells: Column, mask, *, max_pos: int | None = None, causal: bool = True) -> Column:
     """Admitted key positions of every query position under any predicate ``mask(q, k)``.
 

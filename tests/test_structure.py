@@ -100,6 +100,13 @@ def test_allowed_keys_match_masks(table, sequences):
         assert row.c == [[k for k, ok in enumerate(r) if ok] for r in causal]
 
 
+@pytest.mark.parametrize("pad", [P, None])
+def test_key_lists(table, sequences, pad):
+    for row in A.with_key_lists(table, marker_id=C, pad_id=pad).collect():
+        _, mask, _ = plain(sequences[row.seq_id], pad)
+        assert row["keys"] == [[k for k, ok in enumerate(r) if ok] for r in mask]
+
+
 @pytest.mark.parametrize("use_markers", [True, False])
 @pytest.mark.parametrize("block", [1, 4, 7])
 def test_mask_blocks(table, sequences, use_markers, block):
