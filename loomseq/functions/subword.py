@@ -1,0 +1,60 @@
+"""Sub-word tokenizers from a ``tokenizers`` JSON file, as Arrow-batched UDFs."""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession, functions as F
+
+
+def add_special_tokens(source: str, target: str, specials: tuple[str, ...]) -> dict[str, int]:
+    """Copy a tokenizer file with special tokens added; returns their ids."""
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(source)
+    tokenizer.add_special_tokens([AddedToken(s, special=True) for s in specials])
+    tokenizer.save(target)
+    return {s: tokenizer.token_to_id(s) for s in specials}
+
+
+def ship(spark: SparkSession, path: str) -> str:
+    """Send the file to all executors; returns the name the UDFs take."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def _load(name: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task per core
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(name if os.path.isabs(name) else SparkFiles.get(name))
+
+
+def encode_udf(name: str, add_special_tokens: bool = True):
+    """Text column to ``array<int>``; the tokenizer is loaded once per task, null stays null."""
+
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = _load(name)
+        for texts in batches:
+            known = texts.notna().to_numpy()
+            out = pd.Series([None] * len(texts), dtype=object)
+            codes = tokenizer.encode_batch(texts[known].tolist(), add_special_tokens=add_special_tokens)
+            out[known] = pd.Series([c.ids for c in codes], index=out.index[known], dtype=object)
+            yield out
+
+    return F.pandas_udf(encode, "array<int>")
+
+
+def decode_udf(name: str, skip_special_tokens: bool = False):
+    """``array<int>`` column to text."""
+
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = _load(name)
+        for ids in batches:
+            texts = tokenizer.decode_batch([list(map(int, i)) for i in ids], skip_special_tokens=skip_special_tokens)
+            yield pd.Series(texts)
+
+    return F.pandas_udf(decode, "string")

@@ -174,8 +174,10 @@ def build_sequences(
 
     Documents are cut to ``sequence_length`` raw tokens before they are moved: no
     later token can survive, so one very long document costs no more than others.
+    The join is a merge join whatever the sizes look like: the token side grows
+    with the corpus and is never broadcast.
     """
-    head = docs.select("doc_id", F.slice("tokens", 1, sequence_length).alias("__head"))
+    head = docs.select("doc_id", F.slice("tokens", 1, sequence_length).alias("__head")).hint("merge")
     plan = fetch_plan(bins, sequence_length).drop("doc_ix", "len", "seq_start", "place")
     wrapped = plan.join(head, "doc_id").withColumn(
         "__doc", wrap_document(F.col("__head"), stride, marker_id, bos_id, pad_id))

@@ -421,4 +421,32 @@ def statements() -> dict[str, str]:
           FROM documents""",
     }
     out["vocab_argmax_rows"] = out["vocab_argmax"]
+    out["metric_table"] = out["metric_log"]
+    out["stream_tokenize"] = out["tokenize_docs"]
+    out["stream_shard_assign"] = out["shard_assign"]
+    out["raw_shard_round_trip"] = _with(_INDEX, """
+      SELECT shard_idx, doc_ix, "start", "end", array_to_string(tokens, ',') AS tokens
+      FROM idx JOIN doc_tokens USING (doc_id)""")
+    out["raw_shard_index"] = _with(_INDEX, """
+      SELECT shard_idx, 'shard_' || lpad(shard_idx::VARCHAR, 5, '0') AS stem, count(*) AS documents,
+        sum(n)::BIGINT AS num_tokens, sum(n)::BIGINT AS written FROM idx GROUP BY shard_idx""")
+    out["shard_table_round_trip"] = _with(_INDEX, """
+      SELECT shard_idx, count(*) AS rows, sum(list_sum(tokens))::BIGINT AS token_sum, count(*) AS documents,
+        sum(n)::BIGINT AS num_tokens FROM idx JOIN doc_tokens USING (doc_id) GROUP BY shard_idx""")
+    out["subword_tokenize"] = """
+      SELECT doc_id, octet_length(encode(text)) AS n, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL"""
+    out["stream_pack_bins"] = _with(_DOC_TOKENS + f""",
+      dealt AS (SELECT doc_id, n, (doc_id % {WORLD})::INT AS rank,
+        row_number() OVER (PARTITION BY doc_id % {WORLD} ORDER BY doc_id) AS r FROM lens),
+      filled(rank, r, doc_id, n, bin, ord, acc, seq_start) AS (
+        SELECT rank, r, doc_id, n, 0::BIGINT, 0::BIGINT, n, 0::BIGINT FROM dealt WHERE r = 1
+        UNION ALL
+        SELECT d.rank, d.r, d.doc_id, d.n,
+               CASE WHEN f.acc >= {L} THEN f.bin + 1 ELSE f.bin END,
+               CASE WHEN f.acc >= {L} THEN 0 ELSE f.ord + 1 END,
+               CASE WHEN f.acc >= {L} THEN d.n ELSE f.acc + d.n END,
+               CASE WHEN f.acc >= {L} THEN 0 ELSE f.seq_start + f.n + 2 + (f.n - 1) // {S} END
+        FROM filled f JOIN dealt d ON d.rank = f.rank AND d.r = f.r + 1)""", f"""
+      SELECT rank, bin, ord, doc_id, n AS len, seq_start FROM filled
+      QUALIFY max(acc) OVER (PARTITION BY rank, bin) >= {L}""")
     return out

@@ -6,6 +6,7 @@ document or sequence, with arrays as comma-separated text.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import markers as M
 from ..functions import numeric as N
 from ..functions import structure as A
+from ..functions import subword as U
 from ..functions import vectors as V
 from ..functions import words as W
 from ..operators import evaluation as E
@@ -22,8 +24,10 @@ from ..operators import scores as C
 from ..operators import sharding as S
 from ..operators import structure as L
 from ..operators import vocabulary as Y
-from ..session import materialise
-from ..sources.corpus import read_corpus, repeated_pair
+from ..session import as_local_path, materialise, new_folder
+from ..sources import metric_sink, raw_shards, shard_table
+from ..sources.corpus import read_corpus, repeated_pair, stream_corpus
+from ..streaming import jobs as R
 from . import fixtures, jobs
 
 #: settings of all registered queries
@@ -496,6 +500,104 @@ def scalar_helpers(spark, sf):
         W.title_text(F.concat(F.lit("attention_scores__"), F.col("lang"), F.lit("_"), F.col("source"))).alias("title"))
 
 
+# --- files -------------------------------------------------------------------------------------
+
+def _export(spark, sf) -> tuple[str, DataFrame]:
+    path = as_local_path(new_folder(spark, "raw"))
+    rows = S.shard_rows(_index(spark, sf), _tokens(spark, sf))
+    return path, raw_shards.export_raw_shards(rows, path, METADATA)
+
+
+def raw_shard_round_trip(spark, sf):
+    """All shards written as raw files and read back document by document."""
+    path, _ = _export(spark, sf)
+    return raw_shards.read_raw_shards(spark, path).select("shard_idx", "doc_ix", "start", "end", _text("tokens"))
+
+
+def raw_shard_index(spark, sf):
+    """Raw shard files discovered, paired and joined to their index and manifest."""
+    path, manifest = _export(spark, sf)
+    found = raw_shards.discover_shards(spark, path)
+    index = raw_shards.read_index(spark, path)
+    return found.join(index, "shard_idx").join(manifest.select("shard_idx", F.col("num_tokens").alias("written")),
+                                               "shard_idx").select(
+        "shard_idx", "stem", F.size("documents").cast("bigint").alias("documents"), "num_tokens", "written")
+
+
+def shard_table_round_trip(spark, sf):
+    """Shards written as a Parquet table and read back with their index JSON."""
+    path, index = new_folder(spark, "shards"), _index(spark, sf)
+    shard_table.write_shards(S.shard_rows(index, _tokens(spark, sf)), f"{path}/tokens")
+    shard_table.write_index(S.shard_index(index, METADATA), f"{path}/index")
+    parsed = shard_table.parse_index_json(spark.read.parquet(f"{path}/index").select("shard_idx", "index_json"))
+    rows = shard_table.read_shards(spark, f"{path}/tokens").groupBy("shard_idx").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(A.array_sum(F.col("tokens"))).alias("token_sum"))
+    return rows.join(parsed, "shard_idx").select(
+        "shard_idx", "rows", "token_sum", F.size("documents").cast("bigint").alias("documents"), "num_tokens")
+
+
+def metric_table(spark, sf):
+    """Metric rows appended to the metric table and read back."""
+    path = new_folder(spark, "metrics")
+    metric_sink.write_metrics(metric_log(spark, sf), path)
+    return metric_sink.read_metrics(spark, path)
+
+
+# --- sub-word tokenizer ------------------------------------------------------------------------
+
+def subword_tokenize(spark, sf):
+    """Byte-level tokenizer from a file, with its round trip back to text."""
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+    tokenizer = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(alphabet)}, merges=[]))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    tokenizer.decoder = decoders.ByteLevel()
+    path = as_local_path(new_folder(spark, "bytes")) + ".json"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    tokenizer.save(path)
+    U.add_special_tokens(path, path, Y.SPECIAL_TOKENS)
+    name = U.ship(spark, path)
+    docs = S.tokenize(S.spread(_corpus(spark, sf)), U.encode_udf(name)(F.col("text")))
+    back = docs.withColumn("text", U.decode_udf(name)(F.col("tokens")))
+    return back.select("doc_id", F.size("tokens").alias("n"), F.md5("text").alias("text_md5"))
+
+
+# --- streaming ---------------------------------------------------------------------------------
+
+def _stream(spark, sf) -> DataFrame:
+    return stream_corpus(spark, f"{sf}/documents*.parquet")
+
+
+def _drain(spark, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over everything there is and read the table it wrote."""
+    path = new_folder(spark, name)
+    query = R.start_table(stream, f"{path}/table", f"{path}/checkpoint")
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+
+
+def stream_tokenize(spark, sf):
+    docs = _drain(spark, R.tokenize_stream(_stream(spark, sf)), "tokens")
+    return docs.select("doc_id", F.size("tokens").alias("n"), _text("tokens"))
+
+
+def _stream_cut(spark, sf) -> DataFrame:
+    lengths = S.word_lengths(_stream(spark, sf)).withColumn("lane", F.lit(0))
+    return _drain(spark, R.cut_stream(lengths, SETTINGS.tokens_per_shard), "cut")
+
+
+def stream_shard_assign(spark, sf):
+    return _stream_cut(spark, sf).select("doc_id", "shard_idx", "doc_ix", "start", "end")
+
+
+def stream_pack_bins(spark, sf):
+    """Documents dealt to ranks by their key and packed as they arrive."""
+    dealt = S.word_lengths(_stream(spark, sf)).withColumn(
+        "rank", F.pmod("doc_id", F.lit(SETTINGS.world_size)).cast("int"))
+    return _drain(spark, R.pack_stream(dealt, SETTINGS.sequence_length, SETTINGS.stride), "pack")
+
+
 ALL: tuple[Query, ...] = (
     sequence_summary,
     tokenize_docs, insert_markers, insert_markers_labels, wrap_documents, sample_cap, token_cap, capped_shards,
@@ -510,6 +612,8 @@ ALL: tuple[Query, ...] = (
     next_token_targets, shifted_labels, marker_accuracy, masked_loss, metric_log,
     scaled_scores, plain_scores, log_softmax, log_softmax_rows, vocab_argmax, vocab_argmax_rows,
     scalar_helpers,
+    raw_shard_round_trip, raw_shard_index, shard_table_round_trip, metric_table, subword_tokenize,
+    stream_tokenize, stream_shard_assign, stream_pack_bins,
 )
 
 
