@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.markers import int_array
 from ..schemas import CORPUS, MULTIPLE_CHOICE
@@ -19,8 +19,9 @@ def read_corpus(
     reader = spark.read.format(fmt)
     if split is None:
         return reader.schema(schema).load(path)
-    return reader.schema(schema.add(split_column, "string") if split_column not in schema.names else schema).load(
-        path).where(F.col(split_column) == split).drop(split_column)
+    if split_column not in schema.names:
+        schema = StructType([*schema.fields, StructField(split_column, StringType())])
+    return reader.schema(schema).load(path).where(F.col(split_column) == split).drop(split_column)
 
 
 def stream_corpus(
