@@ -27,20 +27,21 @@ def count_up(first: Column, length: Column) -> Column:
     return F.when(length > 0, F.sequence(first, first + length - 1)).otherwise(_ints())
 
 
-def _runs(starts: Column, size: Column) -> Column:
-    """Structs ``(start, len)`` of the pieces between sorted boundaries."""
-    end = lambda k: F.when(k + 1 < F.size(starts), F.get(starts, k + 1)).otherwise(size)
-    return F.transform(starts, lambda s, k: F.struct(s.alias("start"), (end(k) - s).alias("len")))
+def _runs(first: Column, inner: Column, end: Column) -> Column:
+    """Structs ``(start, len)`` of the pieces of ``[first, end)`` cut at the sorted ``inner`` boundaries.
+
+    Starts and ends are two shifted arrays zipped once; a lookup of the next
+    boundary per element would evaluate the array again each time.
+    """
+    return F.zip_with(
+        F.concat(F.array(first), inner), F.concat(inner, F.array(end)),
+        lambda s, e: F.struct(s.alias("start"), (e - s).alias("len")))
 
 
 def _after(positions: Column) -> Column:
     return F.transform(positions, lambda p: p + 1)
 
 
-def _from_zero(boundaries: Column) -> Column:
-    return F.concat(F.array(F.lit(0)), boundaries)
-
-
 def _repeat_number(runs: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r, k: F.array_repeat(k, r["len"])))
 
@@ -63,19 +64,16 @@ def add_structure(
     """
     t = F.col(tokens)
     ignored = [i for i in (marker_id, pad_id) if i is not None]
-    out = df.withColumn("__n", F.size(t)).withColumn("__pad", positions_of(t, pad_id)).withColumn(
-        "__mark", positions_of(t, marker_id))
+    out = df.withColumn("__pad", positions_of(t, pad_id)).withColumn("__mark", positions_of(t, marker_id))
+    whole = lambda inner: _runs(F.lit(0), inner, F.size(t))
     out = (
-        out.withColumn("__seg", _runs(_from_zero(F.col("__pad")), F.col("__n")))
-        .withColumn("__doc", _runs(_from_zero(_after(F.col("__pad"))), F.col("__n")))
-        .withColumn("__grp", _runs(_from_zero(_after(F.col("__mark"))), F.col("__n")))
-        .withColumn("__gap", _runs(_from_zero(F.col("__mark")), F.col("__n")))
+        out.withColumn("__seg", whole(F.col("__pad"))).withColumn("__doc", whole(_after(F.col("__pad"))))
+        .withColumn("__grp", whole(_after(F.col("__mark")))).withColumn("__gap", whole(F.col("__mark")))
     )
     seg, doc, grp, gap = (F.col(c) for c in ("__seg", "__doc", "__grp", "__gap"))
     marks_in = lambda d: F.filter(
         F.col("__mark"), lambda m: (m >= d["start"]) & (m < d["start"] + d["len"]))
-    runs_in = F.transform(doc, lambda d: _runs(
-        F.concat(F.array(d["start"]), _after(marks_in(d))), d["start"] + d["len"]))
+    runs_in = F.transform(doc, lambda d: _runs(d["start"], _after(marks_in(d)), d["start"] + d["len"]))
     out = out.withColumn("__runs", runs_in)
     # The j-th run of a document sees its own part so far and the j markers before it.
     reach = F.flatten(F.transform(F.col("__runs"), lambda rs: F.flatten(
@@ -93,7 +91,7 @@ def add_structure(
             t, lambda x: F.when(x.isin(ignored), F.lit(ignore_label)).otherwise(x)))
         .withColumn("reach", reach)
         .withColumn("reach_causal", F.flatten(F.transform(doc, lambda r: count_up(F.lit(1), r["len"]))))
-        .drop("__n", "__pad", "__mark", "__seg", "__doc", "__grp", "__gap", "__runs")
+        .drop("__pad", "__mark", "__seg", "__doc", "__grp", "__gap", "__runs")
     )
 
 
@@ -138,12 +136,12 @@ def with_key_lists(df: DataFrame, *, marker_id: int, pad_id: int | None, tokens:
     none = F.array().cast("array<int>")
     cut = (
         df.withColumn("__mark", positions_of(t, marker_id))
-        .withColumn("__doc", _runs(_from_zero(_after(positions_of(t, pad_id))), F.size(t)))
+        .withColumn("__doc", _runs(F.lit(0), _after(positions_of(t, pad_id)), F.size(t)))
         .withColumn("__doc", F.transform("__doc", lambda d: F.struct(
             d["start"].alias("start"), d["len"].alias("len"),
             F.filter("__mark", lambda m: (m >= d["start"]) & (m < d["start"] + d["len"])).alias("marks"))))
         .withColumn("__run", F.flatten(F.transform("__doc", lambda d: F.transform(
-            _runs(F.concat(F.array(d["start"]), _after(d["marks"])), d["start"] + d["len"]),
+            _runs(d["start"], _after(d["marks"]), d["start"] + d["len"]),
             lambda r, j: F.struct(r["start"].alias("start"), r["len"].alias("len"),
                                   F.slice(d["marks"], F.lit(1), j).alias("before"))))))
     )

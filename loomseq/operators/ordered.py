@@ -1,6 +1,6 @@
 """Order-dependent work without a single-task pass over the rows.
 
-``prefix_sums``  running totals over an integer order key, in two levels.
+``prefix_sums``  running totals over an order key, in two levels.
 ``ordered_rank`` row numbers over a hashed (uniform) text key, in two levels.
 ``greedy_cut``   running sum that restarts when it reaches a target.
 
@@ -30,6 +30,22 @@ BUCKET_WIDTH = 65_536
 SUPERBLOCK = 4_096
 
 
+def key_ranges(df: DataFrame, order: str, width: int = BUCKET_WIDTH, out: str = "__range") -> DataFrame:
+    """Add the number of the key range a row lies in; ranges follow the order of the key.
+
+    Integer keys without large holes are cut every ``width`` keys, an expression
+    only. Sparse keys, and keys of other types, go through Spark's range
+    partitioner, which balances by rows; the result is written down so that the
+    ranges cannot differ between two readers.
+    """
+    if df.schema[order].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        rows, low, high = df.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
+        if not rows or high - low < 8 * max(rows, width):
+            return df.withColumn(out, F.floor(F.col(order) / F.lit(width)))
+    ranged = df.repartitionByRange(order).withColumn(out, F.spark_partition_id().cast("bigint"))
+    return materialise(ranged)
+
+
 def prefix_sums(
     df: DataFrame,
     order: str,
@@ -39,16 +55,16 @@ def prefix_sums(
     tie: Sequence[str] = (),
     width: int = BUCKET_WIDTH,
 ) -> DataFrame:
-    """Add exclusive running totals over ``order`` (an integer column) within ``by``.
+    """Add exclusive running totals over ``order`` within ``by``.
 
     ``sums`` maps new column -> summed column; a summed column of ``"*"`` counts
-    rows. Totals of fixed-width key ranges are added up first (one row per
-    range), then each range is completed on its own, so a range holds at most
-    ``width`` distinct keys and the join and the window share one shuffle.
+    rows. Totals of key ranges are added up first (one row per range), then each
+    range is completed on its own; the join and the window share one shuffle.
+    ``df`` is read three times; materialise it unless it is a cheap scan.
     """
-    bucket = "__bucket"
+    bucket = "__range"
     keys = [*by, bucket]
-    rows = df.withColumn(bucket, F.floor(F.col(order) / F.lit(width)))
+    rows = key_ranges(df, order, width, bucket)
     value = {new: (F.lit(1).cast("bigint") if old == "*" else F.col(old).cast("bigint")) for new, old in sums.items()}
 
     totals = rows.groupBy(*keys).agg(*[F.sum(v).alias(f"__t_{new}") for new, v in value.items()])

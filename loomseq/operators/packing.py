@@ -183,8 +183,10 @@ def build_sequences(
         "__doc", wrap_document(F.col("__head"), stride, marker_id, bos_id, pad_id))
     keys = [c for c in ("epoch", "shard_idx", "rank", "bin", "seq_ix") if c in bins.columns]
     ordered = F.array_sort(F.collect_list(F.struct("ord", "__doc")))
+    # Hashing on the sequence first leaves nothing to pre-aggregate on the sending side,
+    # where the documents of a sequence hardly ever meet.
     return (
-        wrapped.groupBy(*keys).agg(ordered.alias("__parts"))
+        wrapped.repartition(*keys).groupBy(*keys).agg(ordered.alias("__parts"))
         .select(*keys, F.slice(F.flatten(F.col("__parts.__doc")), 1, sequence_length).alias("tokens"))
     )
 

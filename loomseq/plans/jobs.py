@@ -38,13 +38,13 @@ def index_corpus(
 ) -> DataFrame:
     """Document index of the shards of a corpus.
 
-    ``lengths`` may hand in known token counts. Without them a custom tokenizer
-    runs for its lengths alone; write its output first when it is expensive.
+    Counting needs one scan and moves no text. ``lengths`` may hand in known token
+    counts. Without them a custom tokenizer runs for its lengths alone; write its
+    output first when it is expensive.
     """
     corpus = S.cap_samples(corpus, max_samples)
     if lengths is None:
-        spread = S.spread(corpus)
-        lengths = S.word_lengths(spread) if tokenizer is None else S.token_lengths(S.tokenize(spread, tokenizer))
+        lengths = S.word_lengths(corpus) if tokenizer is None else S.token_lengths(S.tokenize(corpus, tokenizer))
     return S.assign_shards(lengths, settings.tokens_per_shard, max_tokens=max_tokens)
 
 

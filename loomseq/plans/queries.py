@@ -54,7 +54,7 @@ def _tokens(spark, sf) -> DataFrame:
 
 
 def _lengths(spark, sf) -> DataFrame:
-    return materialise(S.word_lengths(S.spread(_corpus(spark, sf))))
+    return materialise(S.word_lengths(_corpus(spark, sf)))
 
 
 def _index(spark, sf) -> DataFrame:

@@ -80,3 +80,24 @@ def test_ordered_rank(spark):
     df = spark.range(500).select("id", F.md5(F.col("id").cast("string")).alias("k"))
     want = {r.id: i for i, r in enumerate(sorted(df.collect(), key=lambda r: r.k))}
     assert {r.id: r.n for r in O.ordered_rank(df, "k", "n", digits=2).collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["sparse", "clustered", "text"])
+def test_prefix_sums_over_awkward_keys(spark, kind):
+    rng = random.Random(6)
+    if kind == "sparse":
+        keys = [rng.randint(-2**62, 2**62) for _ in range(300)]
+    elif kind == "clustered":
+        keys = list(range(200)) + [rng.randint(2**40, 2**62) for _ in range(100)]
+    else:
+        keys = [f"k{v:09d}" for v in rng.sample(range(10**8), 300)]
+    rows = [(k, rng.randint(0, 9)) for k in keys]
+    df = spark.createDataFrame(rows, ["k", "v"]).repartition(5)
+    got = {r.k: (r.s, r.n) for r in O.prefix_sums(df, "k", {"s": "v", "n": "*"}, width=8).collect()}
+    total, want = 0, {}
+    for n, (k, v) in enumerate(sorted(rows)):
+        want[k] = (total, n)
+        total += v
+    assert got == want
+    ranges = O.key_ranges(df, "k", 8).groupBy("__range").count().collect()
+    assert len(ranges) > 1 and max(r["count"] for r in ranges) < 200
