@@ -31,20 +31,39 @@ def marker_rows(rows: DataFrame, marker_id: int) -> DataFrame:
     return rows.where(F.col("token") == marker_id)
 
 
+def _accuracy(marker_id: int) -> Column:
+    hit = F.when(F.col("token") == marker_id, (F.col("pred") == F.col("__shifted")).cast("double"))
+    return F.coalesce(F.avg(hit), F.lit(float("nan")))
+
+
+def _loss(logp: str) -> Column:
+    return F.avg(F.when(F.col("__next") != IGNORE, -F.col(logp)))
+
+
+def _neighbours(rows: DataFrame, key: Sequence[str], shift: int = 1) -> DataFrame:
+    """Add the shifted and the following label, both over one window."""
+    window = Window.partitionBy(*key).orderBy("pos")
+    return rows.withColumn("__shifted", F.lag("label", shift, IGNORE).over(window)).withColumn(
+        "__next", F.lead("label").over(window))
+
+
 def marker_accuracy(rows: DataFrame, marker_id: int, *, by: Sequence[str] = (), key: Sequence[str] = ("seq_id",),
                     shift: int = 1) -> DataFrame:
     """Share of markers whose prediction equals the shifted label; NaN where there is no marker."""
-    shifted = shift_labels(rows, shift=shift, key=key)
-    hit = F.when(F.col("token") == marker_id, (F.col("pred") == F.col("shifted_label")).cast("double"))
-    return shifted.groupBy(*by).agg(F.coalesce(F.avg(hit), F.lit(float("nan"))).alias("marker_accuracy"))
+    return _neighbours(rows, key, shift).groupBy(*by).agg(_accuracy(marker_id).alias("marker_accuracy"))
 
 
 def masked_loss(rows: DataFrame, *, by: Sequence[str] = (), key: Sequence[str] = ("seq_id",),
                 logp: str = "logp") -> DataFrame:
     """Mean of ``-logp`` over positions whose next label is not ignored."""
-    following = F.lead("label").over(Window.partitionBy(*key).orderBy("pos"))
-    counted = F.when(following != IGNORE, -F.col(logp))
-    return rows.withColumn("__loss", counted).groupBy(*by).agg(F.avg("__loss").alias("loss"))
+    return _neighbours(rows, key).groupBy(*by).agg(_loss(logp).alias("loss"))
+
+
+def step_metrics(rows: DataFrame, marker_id: int, *, by: Sequence[str] = (), key: Sequence[str] = ("seq_id",),
+                 logp: str = "logp") -> DataFrame:
+    """Loss and marker accuracy in one pass."""
+    return _neighbours(rows, key).groupBy(*by).agg(
+        _loss(logp).alias("loss"), _accuracy(marker_id).alias("marker_accuracy"))
 
 
 def log_steps(rows: DataFrame, every: int, step: str = "step") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric as N
 from ..functions.markers import count_id, marked_length, wrap_document
-from ..session import materialise
+from ..session import materialise, spread_by
 from .ordered import cut_positions, ordered_rank, prefix_sums
 
 
@@ -183,10 +183,10 @@ def build_sequences(
         "__doc", wrap_document(F.col("__head"), stride, marker_id, bos_id, pad_id))
     keys = [c for c in ("epoch", "shard_idx", "rank", "bin", "seq_ix") if c in bins.columns]
     ordered = F.array_sort(F.collect_list(F.struct("ord", "__doc")))
-    # Hashing on the sequence first leaves nothing to pre-aggregate on the sending side,
-    # where the documents of a sequence hardly ever meet.
+    # Hashed on the sequence before grouping: pre-aggregation on the sending side would
+    # find nothing to merge, the documents of a sequence hardly ever meet there.
     return (
-        wrapped.repartition(*keys).groupBy(*keys).agg(ordered.alias("__parts"))
+        spread_by(wrapped, *keys).groupBy(*keys).agg(ordered.alias("__parts"))
         .select(*keys, F.slice(F.flatten(F.col("__parts.__doc")), 1, sequence_length).alias("tokens"))
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import words as W
 from ..functions.numeric import shard_stem
-from ..session import materialise
+from ..session import materialise, spread_by
 from .ordered import BUCKET_WIDTH, greedy_cut, prefix_sums
 
 
@@ -16,7 +16,7 @@ def spread(corpus: DataFrame, order: str = "doc_id") -> DataFrame:
     Tokenising then runs on all tasks whatever the file layout, and a join on the
     key needs no further exchange.
     """
-    return corpus.select(order, "text").repartition(order)
+    return spread_by(corpus.select(order, "text"), order)
 
 
 def tokenize(corpus: DataFrame, tokenizer: Column | None = None, order: str = "doc_id") -> DataFrame:

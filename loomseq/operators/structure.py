@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import int_div
+from ..session import materialise
 
 SEQUENCE_KEY = ("epoch", "shard_idx", "rank", "bin")
 
@@ -98,37 +99,43 @@ def mask_blocks(
     """Occupancy of the ``block x block`` tiles of the attention mask.
 
     ``cells`` admitted pairs, ``full`` when the tile is all true. Only tiles with
-    a true cell are given. Pairs are never formed: a run (or a document's
-    markers) meets a later block as a product of two counts, and the tiles on
-    the diagonal add up per query position.
+    a true cell are given. Pairs are never formed: tokens are counted once per
+    run and block, and a run (or a document's markers) meets a later block as a
+    product of two counts; the tiles on the diagonal add up per query position.
     """
     key = list(key)
-    asks = ~F.col("is_pad") if use_markers else F.lit(True)
+    bit = lambda c: c.cast("bigint")
     run = F.col("run_start") if use_markers else F.col("doc_start")
     rows = (
-        reached.withColumn("block", int_div(F.col("pos"), block))
-        .withColumn("__run", run).withColumn("__q", asks.cast("bigint"))
-        .withColumn("__m", F.col("is_marker").cast("bigint") if use_markers else F.lit(0).cast("bigint"))
+        reached.withColumn("block", int_div(F.col("pos"), block)).withColumn("__run", run)
+        .withColumn("__q", bit(~F.col("is_pad") if use_markers else F.lit(True)))
+        .withColumn("__m", bit(F.col("is_marker") if use_markers else F.lit(False)))
     )
-
-    def later_blocks(group: list[str], keys: Column) -> DataFrame:
-        part = rows.groupBy(*key, *group, "block").agg(F.sum("__q").alias("__nq"), keys.alias("__nk"))
-        k = part.select(*key, *group, F.col("block").alias("k_block"), "__nk").where(F.col("__nk") > 0)
-        q = part.select(*key, *group, F.col("block").alias("q_block"), "__nq").where(F.col("__nq") > 0)
-        return q.join(k, [*key, *group]).where(F.col("k_block") < F.col("q_block")).select(
-            *key, "q_block", "k_block", (F.col("__nq") * F.col("__nk")).alias("cells"))
-
-    in_block = Window.partitionBy(*key, "mask_doc_id", "block").orderBy("pos")
+    in_block = Window.partitionBy(*key).orderBy("pos")
     own = F.col("pos") - F.greatest(F.col("__run"), F.col("block") * block) + 1
-    marks = F.sum("__m").over(in_block) - F.col("__m")
-    diagonal = rows.withColumn("__cells", F.col("__q") * (own + marks)).groupBy(*key, "block").agg(
-        F.sum("__cells").alias("cells")).select(
-        *key, F.col("block").alias("q_block"), F.col("block").alias("k_block"), "cells")
+    # Markers of the document before this position, less those before the block.
+    before = F.sum("__m").over(in_block) - F.col("__m")
+    opens = (F.col("pos") == F.col("doc_start")) | (F.col("pos") % block == 0)
+    rows = rows.withColumn("__before", before)
+    marks = F.col("__before") - F.last(F.when(opens, F.col("__before")), ignorenulls=True).over(in_block)
+    counted = materialise(
+        rows.withColumn("__cells", F.col("__q") * (own + marks))
+        .groupBy(*key, "mask_doc_id", "__run", "block").agg(
+            F.sum("__q").alias("nq"), F.count(F.lit(1)).alias("nk"), F.sum("__m").alias("nm"),
+            F.sum("__cells").alias("cells")))
+
+    def later_blocks(group: list[str], keys: str) -> DataFrame:
+        part = counted.groupBy(*key, *group, "block").agg(F.sum("nq").alias("nq"), F.sum(keys).alias("nk"))
+        k = part.where("nk > 0").select(*key, *group, F.col("block").alias("k_block"), "nk")
+        q = part.where("nq > 0").select(*key, *group, F.col("block").alias("q_block"), "nq")
+        return q.join(k, [*key, *group]).where(F.col("k_block") < F.col("q_block")).select(
+            *key, "q_block", "k_block", (F.col("nq") * F.col("nk")).alias("cells"))
 
-    parts = diagonal.unionByName(later_blocks(["__run"], F.count(F.lit(1))))
+    parts = counted.select(*key, F.col("block").alias("q_block"), F.col("block").alias("k_block"), "cells")
+    parts = parts.unionByName(later_blocks(["__run"], "nk"))
     if use_markers:
-        parts = parts.unionByName(later_blocks(["mask_doc_id"], F.sum("__m")))
-    size = reached.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+        parts = parts.unionByName(later_blocks(["mask_doc_id"], "nm"))
+    size = counted.groupBy(*key).agg(F.sum("nk").alias("__n"))
     edge = lambda b: F.least(F.lit(block), F.col("__n") - F.col(b) * block)
     return (
         parts.groupBy(*key, "q_block", "k_block").agg(F.sum("cells").alias("cells"))

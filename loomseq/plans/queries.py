@@ -417,10 +417,9 @@ def metric_log(spark, sf):
     key = [*KEY, "seq_ix"]
     long = L.with_labels(L.to_long(packed, key), SETTINGS.marker_id, SETTINGS.pad_id)
     rows = fixtures.predictions(long, KEY)
-    by = ["epoch", "rank", "seq_ix"]
-    loss = X.masked_loss(rows, by=by, key=KEY, logp="logp_milli")
-    acc = X.marker_accuracy(rows, SETTINGS.marker_id, by=by, key=KEY)
-    steps = X.log_steps(loss.join(acc, by).withColumnRenamed("seq_ix", "step"), 10)
+    measured = X.step_metrics(
+        rows, SETTINGS.marker_id, by=["epoch", "rank", "seq_ix"], key=KEY, logp="logp_milli")
+    steps = X.log_steps(measured.withColumnRenamed("seq_ix", "step"), 10)
     run = F.concat(F.lit("epoch"), F.col("epoch"), F.lit("-rank"), F.col("rank"))
     return X.to_metrics(steps, run, {
         "loss_milli": F.round("loss", 4), "ckpt_acc": F.round("marker_accuracy", 6)})

@@ -64,3 +64,12 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all of ``spark.sql.shuffle.partitions``.
+
+    For steps whose work per byte is high (tokenising, unfolding sequences): the
+    explicit number keeps adaptive execution from merging partitions by bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
