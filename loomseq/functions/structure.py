@@ -145,11 +145,13 @@ def with_key_lists(df: DataFrame, *, marker_id: int, pad_id: int | None, tokens:
             lambda r, j: F.struct(r["start"].alias("start"), r["len"].alias("len"),
                                   F.slice(d["marks"], F.lit(1), j).alias("before"))))))
     )
-    asks = F.lit(True) if pad_id is None else None
-    keys = lambda r, q: F.concat(r["before"], F.sequence(r["start"], q))
-    one = lambda r, q: keys(r, q) if asks is not None else F.when(F.get(t, q) == pad_id, none).otherwise(keys(r, q))
+
+    def keys(r, q):
+        seen = F.concat(r["before"], F.sequence(r["start"], q))
+        return seen if pad_id is None else F.when(F.get(t, q) == pad_id, none).otherwise(seen)
+
     return cut.withColumn(out, F.flatten(F.transform("__run", lambda r: F.transform(
-        count_up(r["start"], r["len"]), lambda q: one(r, q))))).select(*df.columns, out)
+        count_up(r["start"], r["len"]), lambda q: keys(r, q))))).select(*df.columns, out)
 
 
 def allowed_keys(cells: Column, mask, *, max_pos: int | None = None, causal: bool = True) -> Column:

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import first_hex_bucket, int_div
 from ..session import materialise
@@ -30,6 +30,10 @@ BUCKET_WIDTH = 65_536
 SUPERBLOCK = 4_096
 
 
+def _fixed_range(order: str, width: int) -> Column:
+    return F.floor(F.col(order) / F.lit(width))
+
+
 def key_ranges(df: DataFrame, order: str, width: int = BUCKET_WIDTH, out: str = "__range") -> DataFrame:
     """Add the number of the key range a row lies in; ranges follow the order of the key.
 
@@ -41,7 +45,7 @@ def key_ranges(df: DataFrame, order: str, width: int = BUCKET_WIDTH, out: str =
     if df.schema[order].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
         rows, low, high = df.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
         if not rows or high - low < 8 * max(rows, width):
-            return df.withColumn(out, F.floor(F.col(order) / F.lit(width)))
+            return df.withColumn(out, _fixed_range(order, width))
     ranged = df.repartitionByRange(order).withColumn(out, F.spark_partition_id().cast("bigint"))
     return materialise(ranged)
 
@@ -54,17 +58,20 @@ def prefix_sums(
     by: Sequence[str] = (),
     tie: Sequence[str] = (),
     width: int = BUCKET_WIDTH,
+    dense: bool = False,
 ) -> DataFrame:
     """Add exclusive running totals over ``order`` within ``by``.
 
     ``sums`` maps new column -> summed column; a summed column of ``"*"`` counts
     rows. Totals of key ranges are added up first (one row per range), then each
     range is completed on its own; the join and the window share one shuffle.
-    ``df`` is read three times; materialise it unless it is a cheap scan.
+    ``dense`` says that the keys are known to be consecutive integers, which
+    saves looking. ``df`` is read several times; materialise it unless it is a
+    cheap scan.
     """
     bucket = "__range"
     keys = [*by, bucket]
-    rows = key_ranges(df, order, width, bucket)
+    rows = df.withColumn(bucket, _fixed_range(order, width)) if dense else key_ranges(df, order, width, bucket)
     value = {new: (F.lit(1).cast("bigint") if old == "*" else F.col(old).cast("bigint")) for new, old in sums.items()}
 
     totals = rows.groupBy(*keys).agg(*[F.sum(v).alias(f"__t_{new}") for new, v in value.items()])

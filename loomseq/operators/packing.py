@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric as N
 from ..functions.markers import count_id, marked_length, wrap_document
-from ..session import materialise, spread_by
+from ..session import spread_by
 from .ordered import cut_positions, ordered_rank, prefix_sums
 
 
@@ -134,12 +134,12 @@ def number_sequences(bins: DataFrame) -> DataFrame:
     """``seq_ix``: the order in which a rank's sequences close over an epoch.
 
     Sequences per shard are counted first and summed over the shard places in
-    two levels; nothing ranks all sequences in one task.
+    two levels; nothing ranks all sequences in one task. ``bins`` is read several
+    times; materialise it first.
     """
     keys = ["epoch", "rank", "place", "shard_idx"]
-    bins = materialise(bins)
     per_shard = bins.where(F.col("ord") == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = prefix_sums(per_shard, "place", {"__before": "__n"}, by=["epoch", "rank"], width=1_024)
+    offsets = prefix_sums(per_shard, "place", {"__before": "__n"}, by=["epoch", "rank"], width=1_024, dense=True)
     return bins.join(offsets.drop("__n"), keys).withColumn("seq_ix", F.col("__before") + F.col("bin")).drop("__before")
 
 

@@ -30,8 +30,9 @@ def tokenize(corpus: DataFrame, tokenizer: Column | None = None, order: str = "d
 def check_ids(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Fail on ids that do not fit an unsigned 31-bit range."""
     bad = F.exists(tokens, lambda t: (t < 0) | (t.cast("bigint") >= F.lit(2**31)))
-    return docs.withColumn(
-        tokens, F.when(~bad, F.col(tokens)).when(bad, F.raise_error(F.lit("token id outside [0, 2**31)")).cast("array<int>")))
+    kind = docs.schema[tokens].dataType
+    fail = F.raise_error(F.lit("token id outside [0, 2**31)")).cast(kind)
+    return docs.withColumn(tokens, F.when(bad, fail).otherwise(F.col(tokens)))
 
 
 def word_lengths(corpus: DataFrame, order: str = "doc_id") -> DataFrame:
@@ -147,6 +148,19 @@ def shard_index(doc_index: DataFrame, metadata: dict[str, str]) -> DataFrame:
     )
 
 
+def shard_document_id(shard_idx: Column, doc_ix: Column) -> Column:
+    """One order key for a document known by its shard and its place there."""
+    return F.shiftleft(shard_idx.cast("bigint"), 32) + doc_ix.cast("bigint")
+
+
+def index_documents(index: DataFrame) -> DataFrame:
+    """Document index back from shard index rows; empty documents stay, they take a turn."""
+    rows = index.select("shard_idx", F.posexplode("documents").alias("doc_ix", "d"))
+    return rows.select(
+        shard_document_id(F.col("shard_idx"), F.col("doc_ix")).alias("doc_id"), "shard_idx",
+        F.col("doc_ix").cast("bigint").alias("doc_ix"), F.col("d.start").alias("start"), F.col("d.end").alias("end"))
+
+
 def dataset_metadata(index: DataFrame) -> DataFrame:
     """Metadata of the first shard (an empty map if it has none) and whether all shards agree."""
     text = F.to_json(F.col("metadata"))

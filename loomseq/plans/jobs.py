@@ -49,17 +49,16 @@ def index_corpus(
 
 
 def plan_bins(doc_index: DataFrame, settings: SequenceSettings) -> DataFrame:
-    """Which documents go into which sequence, for all epochs and ranks; lengths only."""
+    """Which documents go into which sequence, for all epochs and ranks; lengths only, written down."""
     dealt = P.deal_documents(
         doc_index, epochs=settings.epochs, world_size=settings.world_size, base_seed=settings.base_seed)
-    return P.pack_bins(dealt, sequence_length=settings.sequence_length, stride=settings.stride)
+    return materialise(P.pack_bins(dealt, sequence_length=settings.sequence_length, stride=settings.stride))
 
 
 def pack_corpus(corpus: DataFrame, settings: SequenceSettings, doc_index: DataFrame | None = None) -> DataFrame:
     """Packed sequences of a corpus with the word tokenizer; tokens are moved twice in all."""
     doc_index = index_corpus(corpus, settings) if doc_index is None else doc_index
-    bins = materialise(plan_bins(doc_index, settings))
-    return sequences(bins, S.tokenize(S.spread(corpus)), settings)
+    return sequences(plan_bins(doc_index, settings), S.tokenize(S.spread(corpus)), settings)
 
 
 def sequences(bins: DataFrame, docs: DataFrame, settings: SequenceSettings) -> DataFrame:
@@ -68,6 +67,20 @@ def sequences(bins: DataFrame, docs: DataFrame, settings: SequenceSettings) -> D
         marker_id=settings.marker_id, bos_id=settings.bos_id, pad_id=settings.pad_id)
 
 
+def pack_shards(rows: DataFrame, index: DataFrame, settings: SequenceSettings) -> DataFrame:
+    """Packed sequences of written shards, Parquet or raw.
+
+    ``index`` (shard_idx, documents) alone decides who goes where; ``rows``
+    (shard_idx, doc_ix, tokens) are read once. Ids are checked to fit 31 bits.
+    """
+    doc_index = materialise(S.index_documents(index))
+    checked = S.check_ids(rows.select("shard_idx", "doc_ix", "tokens"))
+    docs = checked.select(
+        S.shard_document_id(F.col("shard_idx"), F.col("doc_ix")).alias("doc_id"),
+        F.col("tokens").cast("array<int>").alias("tokens"))
+    return sequences(plan_bins(doc_index, settings), docs, settings)
+
+
 def multiple_choice_report(
     items: DataFrame, logp: DataFrame, subjects: Sequence[str], *, max_items: int | None = 25, value: str = "logp",
 ) -> DataFrame:

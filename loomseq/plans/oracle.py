@@ -424,6 +424,7 @@ def statements() -> dict[str, str]:
     out["metric_table"] = out["metric_log"]
     out["stream_tokenize"] = out["tokenize_docs"]
     out["stream_shard_assign"] = out["shard_assign"]
+    out["raw_shard_sequences"] = out["packed_sequences"]
     out["raw_shard_round_trip"] = _with(_INDEX, """
       SELECT shard_idx, doc_ix, "start", "end", array_to_string(tokens, ',') AS tokens
       FROM idx JOIN doc_tokens USING (doc_id)""")

@@ -67,7 +67,7 @@ def _dealt(spark, sf) -> DataFrame:
 
 
 def _bins(spark, sf) -> DataFrame:
-    return materialise(jobs.plan_bins(_index(spark, sf), SETTINGS))
+    return jobs.plan_bins(_index(spark, sf), SETTINGS)
 
 
 def _packed(spark, sf) -> DataFrame:
@@ -186,9 +186,8 @@ def packed_sequences(spark, sf):
 def rank_sequences(spark, sf):
     """Sequences of rank 1 in the order it yields them."""
     dealt = P.pick_rank(_dealt(spark, sf), 1)
-    bins = materialise(P.number_sequences(P.pack_bins(
-        dealt, sequence_length=SETTINGS.sequence_length, stride=SETTINGS.stride)))
-    packed = jobs.sequences(bins, _tokens(spark, sf), SETTINGS)
+    bins = materialise(P.pack_bins(dealt, sequence_length=SETTINGS.sequence_length, stride=SETTINGS.stride))
+    packed = jobs.sequences(P.number_sequences(bins), _tokens(spark, sf), SETTINGS)
     return packed.select("epoch", "seq_ix", _text("tokens"))
 
 
@@ -523,6 +522,13 @@ def raw_shard_index(spark, sf):
         "shard_idx", "stem", F.size("documents").cast("bigint").alias("documents"), "num_tokens", "written")
 
 
+def raw_shard_sequences(spark, sf):
+    """Sequences packed from raw shard files and their index."""
+    path, _ = _export(spark, sf)
+    packed = jobs.pack_shards(raw_shards.read_raw_shards(spark, path), raw_shards.read_index(spark, path), SETTINGS)
+    return packed.select(*KEY, _text("tokens"))
+
+
 def shard_table_round_trip(spark, sf):
     """Shards written as a Parquet table and read back with their index JSON."""
     path, index = new_folder(spark, "shards"), _index(spark, sf)
@@ -611,7 +617,7 @@ ALL: tuple[Query, ...] = (
     next_token_targets, shifted_labels, marker_accuracy, masked_loss, metric_log,
     scaled_scores, plain_scores, log_softmax, log_softmax_rows, vocab_argmax, vocab_argmax_rows,
     scalar_helpers,
-    raw_shard_round_trip, raw_shard_index, shard_table_round_trip, metric_table, subword_tokenize,
+    raw_shard_round_trip, raw_shard_index, raw_shard_sequences, shard_table_round_trip, metric_table, subword_tokenize,
     stream_tokenize, stream_shard_assign, stream_pack_bins,
 )
 
