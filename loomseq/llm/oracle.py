@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+parts AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links,
+  least(e.vec_id, coalesce(p.low, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(p.low, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN degrees d ON e.vec_id = d.a LEFT JOIN parts p ON e.vec_id = p.a
+"""
+
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_near_dedup": OP1}
