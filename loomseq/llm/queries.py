@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .embedding_dedup import link_vectors
 from .packing import pack_documents
+from .suffix_tree_lm import score_texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of doc_id as text, modulo ``divisor``; splits documents into parts to learn from and to hold out."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"), held_out=remainder(7) == 2)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op9_packing)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op8_suffix_tree_lm, op9_packing)}
