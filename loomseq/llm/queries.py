@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .embedding_dedup import link_vectors
+from .language_id import identify
 from .packing import pack_documents
 from .suffix_tree_lm import score_texts
 
@@ -24,6 +25,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"), held_out=remainder(3) == 1)
+
+
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), held_out=remainder(7) == 2)
 
@@ -33,4 +38,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op8_suffix_tree_lm, op9_packing)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op8_suffix_tree_lm, op9_packing)}
