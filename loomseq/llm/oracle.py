@@ -5,8 +5,8 @@ from __future__ import annotations
 OP1 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
   ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
@@ -20,6 +20,28 @@ SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links,
 FROM embeddings e LEFT JOIN degrees d ON e.vec_id = d.a LEFT JOIN parts p ON e.vec_id = p.a
 """
 
+_WORDS = (r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"""
+          r""" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')""")
+
+OP10 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS sh FROM w),
+bag AS (SELECT doc_id, sh, count(*) AS n FROM s GROUP BY ALL),
+size AS (SELECT doc_id, sum(n) AS t FROM bag GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS o
+  FROM bag a JOIN bag b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 5 * o >= 4 * (x.t + y.t - o)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(t, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(low.b, d.doc_id)) AS kept
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN low ON d.doc_id = low.a
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1}
+    return {"op1_embedding_near_dedup": OP1, "op10_bagminhash_near_dedup": OP10}

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .bagminhash import near_duplicates
 from .embedding_dedup import link_vectors
 from .language_id import identify
 from .packing import pack_documents
@@ -37,5 +38,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op8_suffix_tree_lm, op9_packing)}
+    return {f.__name__: f for f in (
+        op1_embedding_near_dedup, op2_language_id, op8_suffix_tree_lm, op9_packing, op10_bagminhash_near_dedup)}
