@@ -42,6 +42,27 @@ SELECT d.doc_id, coalesce(t, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN low ON d.doc_id = low.a
 """
 
+OP4 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(ws), 13) AS n, unnest(list_transform(
+    range(1, len(ws) - least(len(ws), 13) + 2), lambda k: array_to_string(ws[k:k + least(len(ws), 13) - 1], ' '))) AS w
+  FROM i WHERE len(ws) > 0),
+spot AS (
+  SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)),
+hit AS (SELECT DISTINCT doc_id, n, k, w FROM spot WHERE w IN (SELECT w FROM win)),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, list(DISTINCT item_id::VARCHAR) AS l FROM hit JOIN win USING (w) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(list_sort(l), ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op10_bagminhash_near_dedup": OP10}
+    return {"op1_embedding_near_dedup": OP1, "op4_winnowing_decontamination": OP4, "op10_bagminhash_near_dedup": OP10}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .bagminhash import near_duplicates
+from .decontamination import contamination
 from .embedding_dedup import link_vectors
 from .language_id import identify
 from .packing import pack_documents
@@ -30,6 +31,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), held_out=remainder(3) == 1)
 
 
+def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("print")
+
+
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), held_out=remainder(7) == 2)
 
@@ -44,4 +49,5 @@ def op10_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_embedding_near_dedup, op2_language_id, op8_suffix_tree_lm, op9_packing, op10_bagminhash_near_dedup)}
+        op1_embedding_near_dedup, op2_language_id, op4_winnowing_decontamination,
+        op8_suffix_tree_lm, op9_packing, op10_bagminhash_near_dedup)}
