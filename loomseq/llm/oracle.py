@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import RULES
+
 OP1 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -63,6 +65,31 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_RULES = ", ".join(
+    f"({i}, '{r.label}', {str(r.base).lower()}, {r.share}, {r.text.split()}, {r.key.split()},"
+    f" {r.text.split().index(r.key.split()[0], 0 if r.text.startswith(r.key) else len(r.text[:r.text.index(r.key)].split()))})"
+    for i, r in enumerate(RULES))
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+rules(rule, label, base, share, rule_words, key_words, key_at) AS (VALUES {_RULES}),
+spot AS (SELECT doc_id, ws, p.w, p.i FROM (
+  SELECT doc_id, ws, unnest(list_transform(ws, lambda w, i: {{'w': w, 'i': i - 1}})) AS p FROM d)),
+met AS (
+  SELECT doc_id, rule, label, base, share, i - key_at AS start, len(list_filter(range(1, len(rule_words) + 1),
+    lambda k: coalesce(ws[i - key_at + k] = rule_words[k], false))) / len(rule_words) AS got
+  FROM spot JOIN rules ON w = key_words[1] AND i >= key_at AND ws[i + 1:i + len(key_words)] = key_words),
+per AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(got) AS score
+  FROM met WHERE got >= share - 1e-9 GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op4_winnowing_decontamination": OP4, "op10_bagminhash_near_dedup": OP10}
+    return {"op1_embedding_near_dedup": OP1, "op4_winnowing_decontamination": OP4, "op5_license_scan": OP5, "op10_bagminhash_near_dedup": OP10}

@@ -10,6 +10,7 @@ from .bagminhash import near_duplicates
 from .decontamination import contamination
 from .embedding_dedup import link_vectors
 from .language_id import identify
+from .license_scan import scan_licenses
 from .packing import pack_documents
 from .suffix_tree_lm import score_texts
 
@@ -35,6 +36,10 @@ def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("print")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), held_out=remainder(7) == 2)
 
@@ -50,4 +55,4 @@ def op10_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_embedding_near_dedup, op2_language_id, op4_winnowing_decontamination,
-        op8_suffix_tree_lm, op9_packing, op10_bagminhash_near_dedup)}
+        op5_license_scan, op8_suffix_tree_lm, op9_packing, op10_bagminhash_near_dedup)}
