@@ -11,6 +11,7 @@ from .decontamination import contamination
 from .embedding_dedup import link_vectors
 from .language_id import identify
 from .license_scan import scan_licenses
+from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .suffix_tree_lm import score_texts
 
@@ -32,6 +33,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), held_out=remainder(3) == 1)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("print")
 
@@ -54,5 +60,5 @@ def op10_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_embedding_near_dedup, op2_language_id, op4_winnowing_decontamination,
+        op1_embedding_near_dedup, op2_language_id, op3_line_dedup, op4_winnowing_decontamination,
         op5_license_scan, op8_suffix_tree_lm, op9_packing, op10_bagminhash_near_dedup)}
