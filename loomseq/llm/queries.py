@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .bagminhash import near_duplicates
 from .decontamination import contamination
 from .embedding_dedup import link_vectors
+from .html_extraction import extract
 from .language_id import identify
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .quality import score_quality
 from .suffix_tree_lm import score_texts
 
 
@@ -46,6 +48,15 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out=remainder(4) == 2)
+
+
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), held_out=remainder(7) == 2)
 
@@ -61,4 +72,4 @@ def op10_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_embedding_near_dedup, op2_language_id, op3_line_dedup, op4_winnowing_decontamination,
-        op5_license_scan, op8_suffix_tree_lm, op9_packing, op10_bagminhash_near_dedup)}
+        op5_license_scan, op6_html_extraction, op7_quality, op8_suffix_tree_lm, op9_packing, op10_bagminhash_near_dedup)}
