@@ -10,10 +10,10 @@ similarity. Points come in order of time, so a process ends once it is later
 than everything in the signature.
 
 Signatures are banded. Documents of one multiset are one node. In a bucket each
-node is first compared with the smallest one; then only pairs whose components
-still differ are compared. So a bucket of n like documents costs n comparisons,
-and no link between components is missed. Similarity is verified on whole
-multisets.
+node is first compared with the smallest one. Buckets whose nodes then are of
+more than one component are compared in tiles of bounded size, which return the
+edges of a spanning forest. So no pairs are listed within a group, and no link
+between components is missed. Similarity is verified on whole multisets.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, written
+from .common import components, spanning, without, written
 
 SLICE_BYTES = 6_000_000
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -37,6 +37,8 @@ class BagSettings:
     bands: int = 24
     rows: int = 6
     threshold: float = 0.8
+    #: documents of a bucket that one tile takes from either side
+    block: int = 512
 
     @property
     def places(self) -> int:
@@ -172,12 +174,13 @@ def _sketch(settings: BagSettings):
                 keys = band_keys(signatures(bags, settings.places), settings)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(first, last - first), "ref": batch.column(1).slice(first, last - first),
+                    "print": batch.column(3).slice(first, last - first),
                     "node": pa.array([_node(b) if len(b[0]) else None for b in bags], pa.int64()),
                     "n_shingles": pa.array([int(b[1].sum()) for b in bags], pa.int64()),
                     "buckets": pa.ListArray.from_arrays(
                         pa.array(np.arange(0, keys.size + 1, settings.bands, dtype=np.int32)), pa.array(keys.reshape(-1)))})
 
-    return run, "doc_id long, ref long, node long, n_shingles long, buckets array<long>"
+    return run, "doc_id long, ref long, print long, node long, n_shingles long, buckets array<long>"
 
 
 def _bags_of(settings: BagSettings):
@@ -214,19 +217,65 @@ def _verify(settings: BagSettings):
     return run, "a long, b long"
 
 
+def _overlaps(bags: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """Sizes of the multiset overlaps between the bags at ``left`` and those at ``right``."""
+    sizes = [int(n.sum()) for _, n in bags]
+    owner = np.repeat(np.arange(len(bags)), sizes)
+    # the k-th copy of a shingle is an element of its own: overlaps of sets then count copies
+    element = np.concatenate([
+        mixed(np.repeat(h, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64) * _GOLDEN)
+        for h, n in bags])
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    first = np.append(True, element[1:] != element[:-1])
+    column = np.cumsum(first) - 1
+    shared = np.bincount(column)[column] > 1
+    owner, column = owner[shared], column[shared]
+    column = np.cumsum(np.append(True, column[1:] != column[:-1])) - 1 if len(column) else column
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, chunk):
+        part = slice(np.searchsorted(column, begin), np.searchsorted(column, begin + chunk))
+        dense = np.zeros((len(bags), chunk), dtype=np.float32)
+        dense[owner[part], column[part] - begin] = 1
+        out += dense[left] @ dense[right].T
+    return np.rint(out).astype(np.int64)
+
+
+def _compare_tile(settings: BagSettings):
+    def run(key, table):
+        left, right = key[1].as_py(), key[2].as_py()
+        table = table.combine_chunks()
+        node, part, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
+        bags = [(np.array(h, dtype=np.int64).view(np.uint64), np.array(n)) for h, n in zip(
+            (x.values.to_numpy() for x in table.column("shingles")), (x.values.to_numpy() for x in table.column("counts")))]
+        x, y = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        size = np.array([int(n.sum()) for _, n in bags])
+        links = np.zeros((2, 0), dtype=np.int64)
+        if len(x) and len(y):
+            both = _overlaps(bags, x, y)
+            near = both >= settings.threshold * (size[x][:, None] + size[y][None, :] - both) - 1e-9
+            near &= part[x][:, None] != part[y][None, :]
+            i, j = np.nonzero(near)
+            hung = spanning(x[i], y[j], len(node))
+            links = np.stack((node, node[hung]))[:, hung != np.arange(len(node))]
+        return pa.table({"a": pa.array(links[0]), "b": pa.array(links[1])})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, settings: BagSettings = BagSettings()) -> DataFrame:
     """Classes of ``docs`` (doc_id, text) linked by weighted Jaccard similarity at or over the threshold.
 
-    One row per input row: doc_id, n_shingles, component_id (smallest doc_id of
+    One row per input row: doc_id, print (hash of the text), n_shingles, component_id (smallest doc_id of
     the class), kept (doc_id = component_id). Null, empty and wordless texts are
     classes of their own. A row with a null doc_id takes the class of its likes; it is
     kept only if none of them has an id, or if it has no words. Rows that repeat a
     doc_id are documents like others. Other columns are ignored; an empty table gives no row.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
-        "ref", F.coalesce("doc_id", F.xxhash64("text")))
+        "ref", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("print", F.xxhash64("text"))
     sketch, schema = _sketch(settings)
-    sketched = written(rows.select("doc_id", "ref", "text").mapInArrow(sketch, schema), "sketches")
+    sketched = written(rows.select("doc_id", "ref", "text", "print").mapInArrow(sketch, schema), "sketches")
     nodes = written(
         sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("ref").alias("ref"), F.first("buckets").alias("buckets")), "nodes")
     placed = nodes.select("node", F.explode("buckets").alias("bucket"))
@@ -251,14 +300,15 @@ def near_duplicates(docs: DataFrame, settings: BagSettings = BagSettings()) -> D
     part = components(links)
     crowded = written(
         crowded.join(part, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "parts")
-    mixed_buckets = crowded.groupBy("bucket").agg(
-        F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = written(crowded.join(mixed_buckets, "bucket"), "mixed")
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("component").alias("other"))
-    across = rest.withColumnRenamed("node", "a").join(other, "bucket").where("component < other").select("a", "b").distinct()
-    across = written(across.join(stars.select("a", "b"), ["a", "b"], "left_anti").join(
-        stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "across")
-    more = verified(across)
+    # a bucket of two has been compared by now
+    apart = crowded.groupBy("bucket").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y AND n > 2")
+    apart = written(apart.select("bucket", F.ceil(F.col("n") / settings.block).cast("int").alias("blocks")), "apart")
+    rest = crowded.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    tiles = rest.join(bag_of, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
+        "block", "node", "component", "shingles", "counts")
+    more = written(tiles.groupBy("bucket", "left", "right").applyInArrow(_compare_tile(settings), "a long, b long"), "more-links")
     part = components(links.unionByName(more))
 
     named = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
@@ -267,5 +317,10 @@ def near_duplicates(docs: DataFrame, settings: BagSettings = BagSettings()) -> D
     classes = written(classes.join(lows, "component").select("node", "component_id"), "classes")
     found = sketched.join(classes, "node", "left")
     return found.select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+        "doc_id", "print", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, settings: BagSettings = BagSettings()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; rows with equal doc_id and text stay or go together."""
+    return without(docs, near_duplicates(docs, settings).where("NOT kept").distinct())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import new_folder
@@ -44,6 +45,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) whose doc_id and hash of the text aren't in ``gone`` (doc_id, print)."""
+    keys = gone.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(keys["__id"]) & (F.xxhash64(docs["text"].cast("string")) == keys["__print"])
+    return docs.join(keys, same, "left_anti")
+
+
 def _fingerprint(links: DataFrame) -> tuple:
     # xor-free checksum that can't overflow: sums of 31-bit hashes
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(2**31)))).first())
@@ -76,3 +84,14 @@ def components(links: DataFrame) -> DataFrame:
             break
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Smallest position reachable from each of ``size`` positions over the pairs."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[a], label[b])
+        if (low == label[a]).all() and (low == label[b]).all():
+            return label
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)

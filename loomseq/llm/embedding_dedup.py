@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, written
+from .common import components, spanning, written
 
 
 @dataclass(frozen=True)
@@ -126,17 +126,6 @@ def _first_meeting(codes: np.ndarray, a: np.ndarray, b: np.ndarray, slot: int, c
     return mine
 
 
-def _forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    """Smallest position reachable from each of ``size`` positions over the pairs."""
-    label = np.arange(size)
-    while True:
-        low = np.minimum(label[a], label[b])
-        if (low == label[a]).all() and (low == label[b]).all():
-            return label
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-
-
 def _compare_tile(settings: HashSettings, threshold: float, strip: int = 256):
     def run(key, table):
         slot, code = key[2].as_py(), key[3].as_py()
@@ -162,7 +151,7 @@ def _compare_tile(settings: HashSettings, threshold: float, strip: int = 256):
             i, j = a[i], j + first
             if not len(i):
                 continue
-            label = _forest(i, j, len(node))
+            label = spanning(i, j, len(node))
             hung = np.flatnonzero(label != np.arange(len(node)))
             edges.append(np.stack((node[hung], node[label[hung]])))
             here = _first_meeting(codes, i, j, slot, code)
