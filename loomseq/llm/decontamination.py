@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import shifted, words, written
+from .common import shifted, without, words, written
 
 #: words of a window
 WINDOW = 13
@@ -151,3 +151,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         "doc_id", "print", "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    found = contamination(docs, benchmark, window=window, gram=gram).where("contaminated")
+    return without(docs, found)
