@@ -78,6 +78,8 @@ def byte_stream(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def window_counts(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows of ``depth`` bytes and the byte behind, packed into integers, and their counts."""
+    if not len(texts):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     stream, begin = byte_stream(texts, depth)
     packed = np.zeros(len(stream) - depth, dtype=np.int64)
     for k in range(depth + 1):
