@@ -48,7 +48,7 @@ def insert_markers_with_labels(
     ids: Column, labels: Column, stride: int, marker_id: int, use_markers: bool = True
 ) -> tuple[Column, Column]:
     """Marker insertion on ids and labels together; a marker's label is 0."""
-    message = "token_ids and labels must have the same length"
+    message = "a label is needed for each id"
     ids = check_equal_length(ids, labels, message)
     if not use_markers:
         return ids, labels

@@ -154,14 +154,11 @@ def with_key_lists(df: DataFrame, *, marker_id: int, pad_id: int | None, tokens:
         count_up(r["start"], r["len"]), lambda q: keys(r, q))))).select(*df.columns, out)
 
 
-def allowed_keys(cells: Column, mask, *, max_pos: int | None = None, causal: bool = True) -> Column:
+def allowed_keys(cells: Column, mask, *, causal: bool = True) -> Column:
     """Admitted key positions of every query position under any predicate ``mask(q, k)``.
 
     Evaluated inside the row of one sequence: quadratic in its length, no join
-    and no row per pair. ``max_pos`` is the prefix view. Counts come cheaper
-    from the ``reach`` arrays.
+    and no row per pair. Counts come cheaper from the ``reach`` arrays.
     """
-    if max_pos is not None:
-        cells = F.slice(cells, 1, max_pos)
     keys = lambda q: F.slice(cells, F.lit(1), q["pos"] + 1) if causal else cells
     return F.transform(cells, lambda q: F.transform(F.filter(keys(q), lambda k: mask(q, k)), lambda k: k["pos"]))

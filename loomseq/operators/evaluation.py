@@ -44,6 +44,12 @@ def format_prompt(question: Column, choices: Column) -> Column:
     return F.array_join(F.concat(F.array(strip(question)), lines, F.array(F.lit("Answer:"))), "\n")
 
 
+def dropped_choices(items: DataFrame) -> DataFrame:
+    """``(item_id, choices, dropped)``: choices of each item and how many lie beyond the last letter."""
+    return items.select("item_id", F.size("ch").alias("choices"),
+                        F.greatest(F.size("ch") - MAX_OPTIONS, F.lit(0)).alias("dropped"))
+
+
 def expand_choices(items: DataFrame) -> DataFrame:
     """One row per choice (26 at most) with its completion text."""
     return items.select("*", F.posexplode(F.slice("ch", 1, MAX_OPTIONS)).alias("choice_idx", "choice")).withColumn(
@@ -76,14 +82,19 @@ def best_choice(scores: DataFrame) -> DataFrame:
 
 
 def graded_items(items: DataFrame, logp: DataFrame, *, max_items: int | None, value: str = "logp") -> DataFrame:
-    """``(subject, item_id, pred_idx, answer_idx, correct)`` of the items that count."""
+    """``(subject, item_id, pred_idx, answer_idx, correct)`` of the items that count.
+
+    Every choice of an item takes part: one without log-probabilities scores minus
+    infinity, so an item never leaves the totals for lack of them.
+    """
     asked = valid_items(items if max_items is None else first_items(items, max_items))
     asked = asked.select("subject", "item_id", F.size("ch").alias("__size"),
                          answer_index(F.col("answer"), F.col("answer_is_text")).alias("answer_idx"))
-    # Only choices the item has are scored.
-    scored = logp.join(asked.select("item_id", "__size"), "item_id").where(
-        F.col("choice_idx") < F.least(F.col("__size"), F.lit(MAX_OPTIONS)))
-    best = best_choice(choice_scores(scored, value)).select("item_id", "pred_idx")
+    last = F.least(F.col("__size"), F.lit(MAX_OPTIONS)) - 1
+    choices = asked.select("item_id", F.explode(F.sequence(F.lit(0), last)).alias("choice_idx"))
+    scored = choices.join(choice_scores(logp, value), ["item_id", "choice_idx"], "left").withColumn(
+        "score", F.coalesce("score", F.lit(float("-inf"))))
+    best = best_choice(scored).select("item_id", "pred_idx")
     return asked.where(F.col("answer_idx").isNotNull()).join(best, "item_id").select(
         "subject", "item_id", "pred_idx", "answer_idx", (F.col("pred_idx") == F.col("answer_idx")).alias("correct"))
 

@@ -11,18 +11,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric as N
-from ..functions.markers import count_id, marked_length, wrap_document
+from ..functions.markers import count_id, wrap_document
 from ..session import spread_by
 from .ordered import cut_positions, ordered_rank, prefix_sums
 
 
 def check_parameters(sequence_length: int, world_size: int, rank: int | None = None) -> None:
     if sequence_length <= 0:
-        raise ValueError("sequence_length must be > 0")
+        raise ValueError(f"cannot pack into sequences of {sequence_length} tokens")
     if world_size <= 0:
-        raise ValueError("world_size must be > 0")
+        raise ValueError(f"cannot deal documents to {world_size} ranks")
     if rank is not None and not 0 <= rank < world_size:
-        raise ValueError("rank must be in [0, world_size)")
+        raise ValueError(f"there is no rank {rank} among {world_size}")
 
 
 def repeat_epochs(df: DataFrame, epochs: int) -> DataFrame:
@@ -126,7 +126,9 @@ def pack_bins(dealt: DataFrame, *, sequence_length: int, stride: int) -> DataFra
 
     slim = dealt.select("epoch", "shard_idx", "place", "rank", "turn", "doc_id", "doc_ix",
                         (F.col("end") - F.col("start")).alias("len"))
-    ordered = slim.where(F.col("len") > 0).sortWithinPartitions("epoch", "shard_idx", "rank", "turn")
+    # The rows of a rank's shard must meet in one task, whatever layout the input has.
+    placed = slim.where(F.col("len") > 0).repartition("epoch", "shard_idx", "rank")
+    ordered = placed.sortWithinPartitions("epoch", "shard_idx", "rank", "turn")
     return ordered.select(*names).mapInArrow(pack, _BINS)
 
 
@@ -172,8 +174,8 @@ def build_sequences(
 ) -> DataFrame:
     """Token arrays of all packed sequences.
 
-    Documents are cut to ``sequence_length`` raw tokens before they are moved: no
-    later token can survive, so one very long document costs no more than others.
+    Documents are cut to ``sequence_length`` raw tokens before the join: no later
+    token can survive, so one very long document costs no more than others there.
     The join is a merge join whatever the sizes look like: the token side grows
     with the corpus and is never broadcast.
     """
@@ -195,8 +197,3 @@ def pad_counts(packed: DataFrame, pad_id: int) -> DataFrame:
     """Pads per sequence and whether there is any."""
     pads = count_id(F.col("tokens"), pad_id)
     return packed.withColumn("pads", pads).withColumn("has_pads", F.col("pads") > 0)
-
-
-def document_lengths_in_sequence(bins: DataFrame, stride: int) -> DataFrame:
-    """Length of each document once marked, without touching tokens."""
-    return bins.withColumn("marked_len", marked_length(F.col("len"), stride))

@@ -21,11 +21,6 @@ def to_long(packed: DataFrame, key: Sequence[str] = SEQUENCE_KEY, tokens: str =
     return packed.select(*key, F.posexplode(tokens).alias("pos", "token"))
 
 
-def prefix_view(long: DataFrame, max_pos: int = 1_024) -> DataFrame:
-    """The first positions of every sequence."""
-    return long.where(F.col("pos") < max_pos)
-
-
 def _is(token_id: int | None) -> Column:
     return F.lit(False) if token_id is None else F.col("token") == token_id
 

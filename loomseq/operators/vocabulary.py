@@ -16,13 +16,13 @@ SPECIAL_TOKENS = ("<|checkpoint|>", "<|pad|>", "<|bos|>")
 
 
 def explode_words(corpus: DataFrame, order: str = "doc_id") -> DataFrame:
-    """``(doc_id, pos, token)`` of the whitespace words."""
-    return corpus.select(order, F.posexplode(W.words(F.col("text"))).alias("pos", "token"))
+    """``(doc_id, pos, token)`` of the whitespace words; a document without any has one row with nulls."""
+    return corpus.select(order, F.posexplode_outer(W.words(F.col("text"))).alias("pos", "token"))
 
 
 def word_vocabulary(words: DataFrame) -> DataFrame:
     """``(token, id)`` for the distinct tokens, ids 0.. in the order of their md5."""
-    distinct = words.select("token").distinct().withColumn("__key", F.md5("token"))
+    distinct = words.where("token IS NOT NULL").select("token").distinct().withColumn("__key", F.md5("token"))
     return ordered_rank(distinct, "__key", "id", tie=["token"]).select("token", F.col("id").cast("int").alias("id"))
 
 
@@ -56,14 +56,14 @@ def keep_special(long: DataFrame, vocabulary: DataFrame, *, keep: bool = True) -
 
 
 def encode(words: DataFrame, vocabulary: DataFrame, unknown_id: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Add ``id`` to word rows; words outside the vocabulary get ``unknown_id``."""
+    """Add ``id`` to word rows; words outside the vocabulary get ``unknown_id``, rows without a word null."""
     found = join_bounded(words, vocabulary.select("token", "id"), ["token"], "left", max_rows=max_rows)
-    return found.withColumn("id", F.coalesce("id", F.lit(unknown_id)))
+    return found.withColumn("id", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(unknown_id))))
 
 
 def decode(docs: DataFrame, vocabulary: DataFrame, order: str = "doc_id", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Text of id arrays: words in order, joined by one blank."""
-    long = docs.select(order, F.posexplode("tokens").alias("pos", "id"))
+    """Text of id arrays: words in order, joined by one blank; without ids the text is empty."""
+    long = docs.select(order, F.posexplode_outer(F.filter("tokens", lambda t: t.isNotNull())).alias("pos", "id"))
     named = join_bounded(long, vocabulary.select("id", "token"), ["id"], "left", max_rows=max_rows)
     in_order = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("")).alias("token"))))
     return named.groupBy(order).agg(in_order.alias("__w")).select(

@@ -16,16 +16,23 @@ def milli_logp(*parts) -> Column:
 
 
 def multiple_choice(documents: DataFrame) -> DataFrame:
-    """Items with every kind of answer, empty questions and missing choices."""
+    """Items with every kind of answer, empty questions and missing choices.
+
+    The words of a text are dealt in turn to four choices (three where they are
+    ``options``) and, twelve (thirteen) of sixteen, to the question.
+    """
     d = F.col("doc_id")
     kinds = F.when(d % 6 == 0, "B").when(d % 6 == 1, " c) because").when(d % 6 == 2, "").when(
         d % 6 == 3, "2").when(d % 6 == 4, "1")
     words = W.words(F.col("text"))
+    dealt = lambda to: F.array_join(F.filter(words, lambda w, i: to(i % 16)), " ")
+    choices = lambda n: F.filter(
+        F.array(*[dealt(lambda k, c=c: k == c) for c in range(n)]), lambda text: text != "")
     return documents.select(
         F.col("source").alias("subject"), d.alias("item_id"),
-        F.when(d % 11 == 0, "").otherwise(F.substring("text", 1, 80)).alias("question"),
-        F.when(d % 7 != 0, F.slice(words, 1, 4)).alias("choices"),
-        F.when(d % 7 == 0, F.slice(words, 1, 3)).alias("options"),
+        F.when(d % 11 == 0, "").otherwise(dealt(lambda k: k >= F.when(d % 7 == 0, 3).otherwise(4))).alias("question"),
+        F.when(d % 7 != 0, choices(4)).alias("choices"),
+        F.when(d % 7 == 0, choices(3)).alias("options"),
         kinds.alias("answer"), (d % 6 != 4).alias("answer_is_text"))
 
 

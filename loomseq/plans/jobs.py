@@ -82,7 +82,7 @@ def pack_shards(rows: DataFrame, index: DataFrame, settings: SequenceSettings) -
 
 
 def multiple_choice_report(
-    items: DataFrame, logp: DataFrame, subjects: Sequence[str], *, max_items: int | None = 25, value: str = "logp",
+    items: DataFrame, logp: DataFrame, subjects: Sequence[str], *, max_items: int | None = None, value: str = "logp",
 ) -> DataFrame:
     """Accuracy per wanted subject and overall from a table of token log-probabilities."""
     wanted = items.where(F.col("subject").isin(list(subjects)))

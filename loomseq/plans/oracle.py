@@ -134,14 +134,16 @@ predicted AS (
 _MMLU = r"""
 mmlu AS (
   SELECT source AS subject, doc_id AS item_id,
-    CASE WHEN doc_id % 11 = 0 THEN '' ELSE substr(text, 1, 80) END AS question,
-    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:4] END
-      AS choices,
-    CASE WHEN doc_id % 7 = 0 THEN list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:3] END AS options,
+    CASE WHEN doc_id % 11 = 0 THEN '' ELSE
+      array_to_string(list_filter(ws, lambda w, i: (i - 1) % 16 >= CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 4 END), ' ') END AS question,
+    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE list_filter(list_transform(range(4),
+      lambda c: array_to_string(list_filter(ws, lambda w, i: (i - 1) % 16 = c), ' ')), lambda t: t <> '') END AS choices,
+    CASE WHEN doc_id % 7 = 0 THEN list_filter(list_transform(range(3),
+      lambda c: array_to_string(list_filter(ws, lambda w, i: (i - 1) % 16 = c), ' ')), lambda t: t <> '') END AS options,
     CASE doc_id % 6 WHEN 0 THEN 'B' WHEN 1 THEN ' c) because' WHEN 2 THEN '' WHEN 3 THEN '2' WHEN 4 THEN '1' END
       AS answer,
     doc_id % 6 <> 4 AS answer_is_text
-  FROM documents),
+  FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS ws FROM documents)),
 picked AS (
   SELECT *, CASE WHEN len(choices) > 0 THEN choices ELSE options END AS ch,
     row_number() OVER (PARTITION BY subject ORDER BY item_id) AS place FROM mmlu),
@@ -347,12 +349,14 @@ def statements() -> dict[str, str]:
         "special_ids": _with(_VOCAB, """
           SELECT string_agg(id::VARCHAR, ',' ORDER BY id) AS special_ids FROM vocab WHERE is_special"""),
         "encode_docs": _with(_VOCAB + f""",
-          dw AS (SELECT doc_id, unnest({_WORDS}) AS token FROM documents)""", """
-          SELECT doc_id, count(*) AS n, sum(coalesce(id, -1))::BIGINT AS id_sum,
-            count(*) FILTER (id IS NULL) AS unknown
-          FROM dw LEFT JOIN vocab USING (token) GROUP BY doc_id"""),
+          dw AS (SELECT doc_id, unnest({_WORDS}) AS token FROM documents),
+          coded AS (
+            SELECT doc_id, count(*) AS n, sum(coalesce(id, -1))::BIGINT AS id_sum, count(*) FILTER (id IS NULL) AS unknown
+            FROM dw LEFT JOIN vocab USING (token) GROUP BY doc_id)""", """
+          SELECT doc_id, coalesce(n, 0) AS n, coalesce(id_sum, 0)::BIGINT AS id_sum, coalesce(unknown, 0) AS unknown
+          FROM documents LEFT JOIN coded USING (doc_id)"""),
         "decode_docs": _with(_VOCAB, """
-          SELECT item_id, array_to_string(ws, ' ') AS text FROM passages WHERE len(ws) > 0"""),
+          SELECT item_id, array_to_string(ws, ' ') AS text FROM passages"""),
         "mmlu_prompts": _with(_MMLU, "SELECT item_id, prompt FROM prompts"),
         "mmlu_choices": _with(_MMLU, "SELECT item_id, j AS choice_idx, ' ' || chr((65 + j)::INT) AS completion FROM letters"),
         "mmlu_answers": _with(_MMLU, "SELECT item_id, answer_idx FROM answers WHERE answer_idx IS NOT NULL"),
@@ -379,8 +383,9 @@ def statements() -> dict[str, str]:
           FROM (SELECT *, lead(token) OVER {_W} AS target FROM seqs) WHERE target IS NOT NULL GROUP BY ALL"""),
         "shifted_labels": _folded(_PREDICTIONS, "predicted", "shifted_label"),
         "marker_accuracy": _with(_PREDICTIONS, f"""
-          SELECT {keys}, round(avg((pred = shifted_label)::INT), 6) AS marker_accuracy
-          FROM predicted WHERE is_marker = 1 GROUP BY ALL"""),
+          SELECT {keys}, count(*) FILTER (is_marker = 1) = 0 AS undefined,
+            round(avg((pred = shifted_label)::INT) FILTER (is_marker = 1), 6) AS marker_accuracy
+          FROM predicted GROUP BY ALL"""),
         "masked_loss": _with(_PREDICTIONS, f"""
           SELECT {keys}, round(avg(-logp_milli), 4) AS loss_milli
           FROM predicted WHERE next_label IS NOT NULL AND next_label <> -100 GROUP BY ALL"""),
@@ -434,8 +439,6 @@ def statements() -> dict[str, str]:
     out["shard_table_round_trip"] = _with(_INDEX, """
       SELECT shard_idx, count(*) AS rows, sum(list_sum(tokens))::BIGINT AS token_sum, count(*) AS documents,
         sum(n)::BIGINT AS num_tokens FROM idx JOIN doc_tokens USING (doc_id) GROUP BY shard_idx""")
-    out["subword_tokenize"] = """
-      SELECT doc_id, octet_length(encode(text)) AS n, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL"""
     out["stream_pack_bins"] = _with(_DOC_TOKENS + f""",
       dealt AS (SELECT doc_id, n, (doc_id % {WORLD})::INT AS rank,
         row_number() OVER (PARTITION BY doc_id % {WORLD} ORDER BY doc_id) AS r FROM lens),

@@ -6,7 +6,6 @@ document or sequence, with arrays as comma-separated text.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import markers as M
 from ..functions import numeric as N
 from ..functions import structure as A
-from ..functions import subword as U
 from ..functions import vectors as V
 from ..functions import words as W
 from ..operators import evaluation as E
@@ -330,7 +328,8 @@ def encode_docs(spark, sf):
     """Documents encoded with the benchmark vocabulary, unknown words counted."""
     coded = Y.encode(Y.explode_words(_corpus(spark, sf)), _vocabulary(spark, sf), unknown_id=-1)
     return coded.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"), F.count_if(F.col("id") == -1).alias("unknown"))
+        F.count("token").alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("id_sum"),
+        F.count_if(F.col("id") == -1).alias("unknown"))
 
 
 def decode_docs(spark, sf):
@@ -378,7 +377,8 @@ def best_choice(spark, sf):
 def subject_accuracy(spark, sf):
     docs = _documents(spark, sf)
     report = jobs.multiple_choice_report(
-        fixtures.multiple_choice(docs), fixtures.choice_logp(docs), fixtures.SUBJECTS, value="logp_milli")
+        fixtures.multiple_choice(docs), fixtures.choice_logp(docs), fixtures.SUBJECTS, max_items=25,
+        value="logp_milli")
     return report.select(F.coalesce("subject", F.lit("overall")).alias("subject"), "correct", "total",
                          F.round("accuracy", 6).alias("accuracy"))
 
@@ -401,7 +401,9 @@ def shifted_labels(spark, sf):
 
 def marker_accuracy(spark, sf):
     acc = X.marker_accuracy(_predictions(spark, sf), SETTINGS.marker_id, by=KEY, key=KEY)
-    return acc.where(~F.isnan("marker_accuracy")).select(*KEY, F.round("marker_accuracy", 6).alias("marker_accuracy"))
+    undefined = F.isnan("marker_accuracy")
+    return acc.select(
+        *KEY, undefined.alias("undefined"), F.when(~undefined, F.round("marker_accuracy", 6)).alias("marker_accuracy"))
 
 
 def masked_loss(spark, sf):
@@ -548,26 +550,6 @@ def metric_table(spark, sf):
     return metric_sink.read_metrics(spark, path)
 
 
-# --- sub-word tokenizer ------------------------------------------------------------------------
-
-def subword_tokenize(spark, sf):
-    """Byte-level tokenizer from a file, with its round trip back to text."""
-    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
-
-    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
-    tokenizer = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(alphabet)}, merges=[]))
-    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    tokenizer.decoder = decoders.ByteLevel()
-    path = as_local_path(new_folder(spark, "bytes")) + ".json"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    tokenizer.save(path)
-    U.add_special_tokens(path, path, Y.SPECIAL_TOKENS)
-    name = U.ship(spark, path)
-    docs = S.tokenize(S.spread(_corpus(spark, sf)), U.encode_udf(name)(F.col("text")))
-    back = docs.withColumn("text", U.decode_udf(name)(F.col("tokens")))
-    return back.select("doc_id", F.size("tokens").alias("n"), F.md5("text").alias("text_md5"))
-
-
 # --- streaming ---------------------------------------------------------------------------------
 
 def _stream(spark, sf) -> DataFrame:
@@ -617,7 +599,7 @@ ALL: tuple[Query, ...] = (
     next_token_targets, shifted_labels, marker_accuracy, masked_loss, metric_log,
     scaled_scores, plain_scores, log_softmax, log_softmax_rows, vocab_argmax, vocab_argmax_rows,
     scalar_helpers,
-    raw_shard_round_trip, raw_shard_index, raw_shard_sequences, shard_table_round_trip, metric_table, subword_tokenize,
+    raw_shard_round_trip, raw_shard_index, raw_shard_sequences, shard_table_round_trip, metric_table,
     stream_tokenize, stream_shard_assign, stream_pack_bins,
 )
 

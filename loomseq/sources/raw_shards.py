@@ -39,8 +39,9 @@ def discover_shards(spark: SparkSession, path: str, *, strict: bool = True) -> D
         if pairs.isEmpty():
             raise FileNotFoundError(f"no shards in {path}")
         whole = F.col("bin_path").isNotNull() & F.col("idx_path").isNotNull()
-        pairs = pairs.withColumn("stem", F.when(whole, F.col("stem")).otherwise(
-            F.raise_error(F.concat(F.lit("shard file without its partner: "), F.col("stem")))))
+        # part of the filter, so that no plan can leave the check out
+        pairs = pairs.where(F.when(whole, True).otherwise(
+            F.raise_error(F.concat(F.lit("shard file without its partner: "), F.col("stem"))).cast("boolean")))
     number = F.regexp_extract("stem", r"(\d+)$", 1).cast("bigint")
     return pairs.select(number.alias("shard_idx"), "stem", "bin_path", "idx_path").orderBy("shard_idx")
 

@@ -35,7 +35,7 @@ def test_labels_follow_tokens(spark):
 def test_unequal_labels_fail(spark):
     df = spark.createDataFrame([([1, 2], [0])], "t array<int>, l array<int>")
     t, l = M.insert_markers_with_labels(F.col("t"), F.col("l"), 2, C)
-    with pytest.raises(Exception, match="same length"):
+    with pytest.raises(Exception, match="a label is needed"):
         df.select(t, l).collect()
 
 

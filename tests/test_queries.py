@@ -8,12 +8,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from loomseq.plans import oracle, queries
 from oracle_check import compare, connect
 
 SOME = ("sequence_summary", "shard_assign", "shard_index", "pack_bins", "packing_loss", "structure_arrays",
-        "mask_block_occupancy", "subject_accuracy", "metric_log", "scaled_scores", "raw_shard_round_trip",
+        "mask_block_occupancy", "mmlu_prompts", "mmlu_choices", "encode_docs", "decode_docs", "marker_accuracy", "subject_accuracy", "metric_log", "scaled_scores", "raw_shard_round_trip",
         "stream_shard_assign")
-NAMES = tuple(entry.queries()) if os.environ.get("LOOMSEQ_ALL_QUERIES") else SOME
+NAMES = tuple(queries.registry()) if os.environ.get("LOOMSEQ_ALL_QUERIES") else SOME
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def db(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries.registry()) == set(oracle.statements())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -5,11 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomseq.functions import subword as U
 from loomseq.functions import vectors as V
 from loomseq.operators import scores as K
 from loomseq.operators import sharding as S
-from loomseq.operators import vocabulary as Y
 from loomseq.sources import corpus as R
 from loomseq.sources import metric_sink, raw_shards, shard_table
 
@@ -132,27 +130,6 @@ def test_slice_documents(spark):
     assert sorted((r.doc_ix, r.tokens) for r in S.slice_documents(shards, index).collect()) == [(0, [1]), (1, [2, 3, 4])]
 
 
-def test_trained_tokenizer(spark, sf_dir, tmp_path):
-    from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
-
-    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50).collect()]
-    tok = Tokenizer(models.BPE())
-    tok.pre_tokenizer, tok.decoder = pre_tokenizers.ByteLevel(add_prefix_space=False), decoders.ByteLevel()
-    tok.train_from_iterator(texts, trainers.BpeTrainer(
-        vocab_size=500, initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False))
-    source, target = str(tmp_path / "t.json"), str(tmp_path / "with_specials.json")
-    tok.save(source)
-    ids = U.add_special_tokens(source, target, Y.SPECIAL_TOKENS)
-    assert len(set(ids.values())) == 3 and min(ids.values()) >= tok.get_vocab_size()
-    name = U.ship(spark, target)
-    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None), (100, "")], "doc_id bigint, text string")
-    docs = S.tokenize(corpus.repartition(3), U.encode_udf(name)(F.col("text")))
-    back = docs.withColumn("back", U.decode_udf(name)(F.col("tokens"))).collect()
-    assert {r.doc_id: r.back for r in back} == {**dict(enumerate(texts)), 100: ""}
-    lengths = {r.doc_id: r.len for r in S.token_lengths(docs).collect()}
-    assert lengths[100] == 0 and lengths[0] == len(tok.encode(texts[0]).ids)
-
-
 def test_vectors(spark):
     df = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, [3.0, -1.0]), (1, 0, [1.0, 1.0])], "seq int, pos int, vec array<float>")
     rows = {(r.seq, r.q_pos): r.scores for r in K.score_rows(df, key=["seq"], mask=lambda q, k: q["pos"] >= k["pos"]).collect()}
