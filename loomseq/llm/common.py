@@ -45,6 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: rows of fixed width up to which the smaller side of a join is broadcast
+BROADCAST_ROWS = 250_000
+
+
+def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a written table on the right: broadcast within the bound, else shuffled, where adaptive execution splits hot keys."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) whose doc_id and hash of the text aren't in ``gone`` (doc_id, print)."""
     keys = gone.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"))
