@@ -202,7 +202,7 @@ class ChainModel:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[list[int]], list[int]]], *, rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> ChainModel:
+def train(pages: list[tuple[list[list[int]], list[int]]], *, rounds: int = 120, rate: float = 0.5, decay: float = 1e-4) -> ChainModel:
     """Maximise the likelihood of labelled chains; each page is (feature numbers, labels)."""
     model = ChainModel(np.zeros(WIDTH), np.zeros((2, 2)), np.zeros(2))
     pages = [p for p in pages if p[0]]
@@ -311,7 +311,7 @@ def laid_out(texts: list[str], pages: int, seed: int = 11) -> list[list[Block]]:
             inner = rng.choice((("p",), ("p",), ("p",), ("p", "b"), (), ("h2",), ("ul", "li"), ("blockquote", "p"), ("div", "p"), ("pre",), ("section", "p"), ("table", "tr", "td")))
             t = text(rng.random() < 0.25)
             blocks.append(Block(t, path + tuple((x, ()) for x in inner), len(t) // 8 if rng.random() < 0.1 else 0, 1))
-            if rng.random() < 0.06:
+            if rng.random() < 0.2:
                 blocks += other(rng.choice(_WITHIN), path)
         for kind in _AFTER:
             if rng.random() < 0.35:
