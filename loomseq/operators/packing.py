@@ -169,6 +169,17 @@ def packing_loss(bins: DataFrame, *, sequence_length: int, stride: int) -> DataF
     )
 
 
+def packing_rest(dealt: DataFrame, bins: DataFrame) -> DataFrame:
+    """Per (epoch, shard_idx, rank): documents and raw tokens dealt, and those left in its open sequence, which is dropped."""
+    keys = ["epoch", "shard_idx", "rank"]
+    length = F.col("end") - F.col("start")
+    given = dealt.where(length > 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("documents"), F.sum(length).alias("tokens"))
+    used = bins.groupBy(*keys).agg(F.count(F.lit(1)).alias("d"), F.sum("len").alias("t"))
+    return given.join(used, keys, "left").select(
+        *keys, "documents", "tokens", (F.col("documents") - F.coalesce("d", F.lit(0))).alias("documents_open"),
+        (F.col("tokens") - F.coalesce("t", F.lit(0))).alias("tokens_open"))
+
+
 def build_sequences(
     bins: DataFrame, docs: DataFrame, *, sequence_length: int, stride: int, marker_id: int, bos_id: int, pad_id: int
 ) -> DataFrame:

@@ -94,12 +94,24 @@ def assign_shards(
     and lengths are written down three times on the way (lengths, running totals,
     index), so the text is read once for all of it.
     """
-    running = cap_tokens(running_lengths(materialise(lengths), order, width), max_tokens)
+    lengths = materialise(lengths)
+    check_order_key(lengths, order)
+    running = cap_tokens(running_lengths(lengths, order, width), max_tokens)
     cut = greedy_cut(materialise(running), tokens_per_shard, order=order, span=span, superblock=superblock)
     return materialise(cut.select(
         order, F.col("bin").alias("shard_idx"), F.col("ix").alias("doc_ix"), "start", "end"))
 
 
+def check_order_key(df: DataFrame, order: str = "doc_id") -> None:
+    """Refuse an order key that is null or not unique: running totals would depend on chance.
+
+    Keys and counts only, combined before they move; give it a written table.
+    """
+    bad = df.groupBy(order).agg(F.count(F.lit(1)).alias("rows")).where(F.col(order).isNull() | (F.col("rows") > 1)).head()
+    if bad is not None:
+        raise ValueError(f"{order} must be unique and not null; found {bad[0]} in {bad['rows']} rows")
+
+
 def run_totals(doc_index: DataFrame) -> DataFrame:
     """Documents, tokens and shards of a run."""
     return doc_index.agg(

@@ -253,6 +253,12 @@ def statements() -> dict[str, str]:
           FROM structured GROUP BY ALL"""),
         "tokenize_docs": _with(_DOC_TOKENS, """
           SELECT doc_id, len(tokens) AS n, array_to_string(tokens, ',') AS tokens FROM doc_tokens"""),
+        "conversation_tokens": f"""
+          SELECT doc_id, len(tokens) AS n, array_to_string(tokens, ',') AS tokens FROM (
+            SELECT doc_id, list_transform({_WORDS}, lambda w: {_word_id('w')}) AS tokens FROM (
+              SELECT conv_id AS doc_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10)
+                ORDER BY turn, coalesce(role, '') || ': ' || coalesce(text, '')) AS text
+              FROM conversations GROUP BY conv_id))""",
         "insert_markers": doc_list(marked),
         "insert_markers_labels": _with(_DOC_TOKENS, f"""
           SELECT doc_id, array_to_string({_marked('tokens', 5, C)}, ',') AS tokens,
@@ -295,6 +301,11 @@ def statements() -> dict[str, str]:
             sum(n - kept)::BIGINT AS raw_cut, count(*) FILTER (kept = 0) AS documents_lost
           FROM (SELECT t.epoch, t.shard_idx, t.rank, t.bin, t.ord, t.n, count(s.raw) AS kept
                 FROM taken t LEFT JOIN seqs s USING ({keys}, ord) GROUP BY ALL) GROUP BY ALL"""),
+        "packing_rest": _with(_BINS, """
+          SELECT epoch, shard_idx, rank, count(*) AS documents, sum(n)::BIGINT AS tokens,
+            count(*) FILTER (NOT done) AS documents_open, coalesce(sum(n) FILTER (NOT done), 0)::BIGINT AS tokens_open
+          FROM (SELECT f.*, t.doc_id IS NOT NULL AS done FROM filled f
+                LEFT JOIN taken t USING (epoch, shard_idx, rank, bin, ord)) GROUP BY ALL"""),
         "pad_counts": _with(_GROUPS, f"""
           SELECT {keys}, sum(is_pad)::BIGINT AS pads, sum(is_pad) > 0 AS has_pads FROM grouped GROUP BY ALL"""),
         "position_ids": _folded(_STRUCTURE, "structured", "position_id", "segment_id"),
@@ -361,6 +372,9 @@ def statements() -> dict[str, str]:
         "mmlu_choices": _with(_MMLU, "SELECT item_id, j AS choice_idx, ' ' || chr((65 + j)::INT) AS completion FROM letters"),
         "mmlu_answers": _with(_MMLU, "SELECT item_id, answer_idx FROM answers WHERE answer_idx IS NOT NULL"),
         "first_items": _with(_MMLU, "SELECT subject, item_id FROM picked WHERE place <= 25"),
+        "subject_items": f"""
+          SELECT source AS subject, count(*) AS items, sum(doc_id)::BIGINT AS id_sum FROM documents
+          WHERE source IN ({', '.join(repr(s) for s in SUBJECTS)}) GROUP BY source""",
         "choice_scores": _with(_MMLU, "SELECT item_id, choice_idx, score_milli FROM scores"),
         "best_choice": _with(_MMLU, """
           SELECT item_id, choice_idx AS pred_idx, score_milli FROM scores

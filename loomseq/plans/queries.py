@@ -24,7 +24,7 @@ from ..operators import structure as L
 from ..operators import vocabulary as Y
 from ..session import as_local_path, materialise, new_folder
 from ..sources import metric_sink, raw_shards, shard_table
-from ..sources.corpus import read_corpus, repeated_pair, stream_corpus
+from ..sources.corpus import read_conversations, read_corpus, read_subjects, repeated_pair, stream_corpus
 from ..streaming import jobs as R
 from . import fixtures, jobs
 
@@ -97,6 +97,12 @@ def tokenize_docs(spark, sf):
     return _tokens(spark, sf).select("doc_id", F.size("tokens").alias("n"), _text("tokens"))
 
 
+def conversation_tokens(spark, sf):
+    """The chat corpus: whole conversations, tokenised."""
+    docs = S.tokenize(read_conversations(spark, f"{sf}/conversations.parquet"))
+    return docs.select("doc_id", F.size("tokens").alias("n"), _text("tokens"))
+
+
 def insert_markers(spark, sf):
     docs = _tokens(spark, sf).withColumn("tokens", M.insert_markers(F.col("tokens"), 7, W.MARKER_ID))
     return docs.select("doc_id", _text("tokens"))
@@ -193,6 +199,13 @@ def packing_loss(spark, sf):
     return P.packing_loss(_bins(spark, sf), sequence_length=SETTINGS.sequence_length, stride=SETTINGS.stride)
 
 
+def packing_rest(spark, sf):
+    """What every rank leaves in its open sequence of each shard."""
+    dealt = materialise(_dealt(spark, sf))
+    bins = P.pack_bins(dealt, sequence_length=SETTINGS.sequence_length, stride=SETTINGS.stride)
+    return P.packing_rest(dealt, bins)
+
+
 def pad_counts(spark, sf):
     return P.pad_counts(_packed(spark, sf), SETTINGS.pad_id).select(*KEY, "pads", "has_pads")
 
@@ -364,6 +377,14 @@ def first_items(spark, sf):
     return E.first_items(fixtures.multiple_choice(_documents(spark, sf)), 25).select("subject", "item_id")
 
 
+def subject_items(spark, sf):
+    """Items written by subject and read back for the wanted subjects, one of them absent."""
+    path = new_folder(spark, "items")
+    fixtures.multiple_choice(_documents(spark, sf)).write.partitionBy("subject").parquet(path)
+    items = read_subjects(spark, path, fixtures.SUBJECTS)
+    return items.groupBy("subject").agg(F.count(F.lit(1)).alias("items"), F.sum("item_id").alias("id_sum"))
+
+
 def choice_scores(spark, sf):
     scores = E.choice_scores(fixtures.choice_logp(_documents(spark, sf)), "logp_milli")
     return scores.select("item_id", "choice_idx", F.col("score").cast("bigint").alias("score_milli"))
@@ -587,15 +608,15 @@ def stream_pack_bins(spark, sf):
 
 ALL: tuple[Query, ...] = (
     sequence_summary,
-    tokenize_docs, insert_markers, insert_markers_labels, wrap_documents, sample_cap, token_cap, capped_shards,
+    tokenize_docs, conversation_tokens, insert_markers, insert_markers_labels, wrap_documents, sample_cap, token_cap, capped_shards,
     shard_assign, shard_index, dataset_metadata, run_totals, skipped_documents, progress, doc_slices,
-    epoch_shard_order, doc_shuffle_rank, pack_bins, packed_sequences, rank_sequences, packing_loss, pad_counts,
+    epoch_shard_order, doc_shuffle_rank, pack_bins, packed_sequences, rank_sequences, packing_loss, packing_rest, pad_counts,
     position_ids, mask_groups, since_last_marker, attention_reach, attention_reach_causal, label_mask,
     structure_arrays, distinct_segments, attention_edges, mask_block_occupancy,
     mask_block_occupancy_causal,
     maybe_append_marker, prompt_sequences, repeated_pairs, special_filter, ordinary_filter,
     vocabulary, special_ids, encode_docs, decode_docs,
-    mmlu_prompts, mmlu_choices, mmlu_answers, first_items, choice_scores, best_choice, subject_accuracy,
+    mmlu_prompts, mmlu_choices, mmlu_answers, first_items, subject_items, choice_scores, best_choice, subject_accuracy,
     next_token_targets, shifted_labels, marker_accuracy, masked_loss, metric_log,
     scaled_scores, plain_scores, log_softmax, log_softmax_rows, vocab_argmax, vocab_argmax_rows,
     scalar_helpers,

@@ -31,6 +31,18 @@ def stream_corpus(
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
 
 
+def read_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """Conversations as documents ``(doc_id, text)``: a line ``role: text`` per turn, in order.
+
+    Null parts are empty. A conversation is one document, so its turns meet in one row.
+    """
+    turns = spark.read.schema("conv_id bigint, turn bigint, role string, text string").parquet(path)
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
+    lines = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    return turns.groupBy(F.col("conv_id").alias("doc_id")).agg(lines.alias("__l")).select(
+        "doc_id", F.array_join(F.col("__l.line"), "\n").alias("text"))
+
+
 def read_subjects(
     spark: SparkSession, path: str, subjects: Sequence[str], *, fmt: str = "parquet",
     schema: StructType = MULTIPLE_CHOICE,

@@ -1,5 +1,6 @@
 """Results don't depend on how rows lie, and nothing leaves them unsaid."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomseq.operators import evaluation as E, packing as P, vocabulary as Y
@@ -41,3 +42,11 @@ def test_documents_without_words_stay(spark):
     ids = coded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))).alias("c"))
     back = Y.decode(ids.select("doc_id", F.col("c.id").alias("tokens")), vocab)
     assert {r.doc_id: r.text for r in back.collect()} == {1: "b a b", 2: "", 3: ""}
+
+
+def test_order_key_must_be_unique(spark):
+    settings = jobs.SequenceSettings(tokens_per_shard=10, sequence_length=8)
+    for ids in ((1, 1), (None, 2)):
+        corpus = spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string")
+        with pytest.raises(ValueError, match="unique"):
+            jobs.index_corpus(corpus, settings)
