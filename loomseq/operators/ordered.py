@@ -5,12 +5,13 @@
 ``greedy_cut``   running sum that restarts when it reaches a target.
 
 The greedy cut is a chain: a shard that starts at token coordinate ``c`` ends at
-the first document end ``>= c + target``. Each block of the coordinate axis is
-summarised, independently of the others, as a step function *"enter here, leave
-after so many cuts at that document end"*. Step functions compose, so blocks are
-folded into superblocks and these into one short chain. Its states travel back
-down, and every block then numbers its own documents. Rows never meet in one
-task; what is folded is a summary of each block.
+the first document end ``>= c + target``. Each block of rows is summarised,
+independently of the others, as a step function *"enter here, leave after so
+many cuts at that document end"*. Step functions compose, so a few blocks at a
+time are folded, level by level, until a few are left. The states of the one
+real chain travel back down, and every block then numbers its own documents. A
+summary has at most as many steps as documents begin within one target, so one
+fold takes ``FAN_IN`` times that, and a leaf ``BLOCK_ROWS`` rows.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from ..session import materialise
 
 #: order-key width of one bucket of the two-level running total
 BUCKET_WIDTH = 65_536
-#: coordinate blocks folded into one superblock
-SUPERBLOCK = 4_096
+#: rows of one leaf block of the greedy cut, and blocks folded into one of the next level
+BLOCK_ROWS, FAN_IN = 65_536, 8
 
 
 def _fixed_range(order: str, width: int) -> Column:
@@ -177,21 +178,28 @@ def _columns(table: pa.Table, names: Sequence[str], order: str) -> list[np.ndarr
     return [c[by] for c in cols]
 
 
-_NODE = "hi bigint, last bigint, last_rn bigint, cuts bigint"
+_NODE = "first bigint, hi bigint, last bigint, last_rn bigint, cuts bigint"
 _STATE = "base bigint, base_rn bigint, count bigint"
 _NODE_COLS = ("hi", "last", "last_rn", "cuts")
 
 
-def _fold(nodes: DataFrame, child: str, parent: str, parent_span: int, target: int) -> DataFrame:
-    """Nodes of ``parent`` blocks made from the nodes of ``child`` blocks."""
+def _summary(block: int, first: int, nodes) -> pa.Table:
+    """Rows of ``_NODE``; ``first`` is where the block begins."""
+    hi, last, last_rn, cuts = nodes
+    return pa.table({"block": np.full(len(hi), block), "first": np.full(len(hi), first), "hi": hi, "last": last,
+                     "last_rn": last_rn, "cuts": cuts})
+
+
+def _fold(nodes: DataFrame, fan_in: int, target: int) -> DataFrame:
+    """Nodes of the next level, made from those of ``fan_in`` neighbouring blocks."""
 
     def fold(key, table):
-        block = key[0].as_py()
-        cols = _columns(table, _NODE_COLS, "hi")
-        hi, last, last_rn, cuts = _summarise(*cols, block * parent_span, target)
-        return pa.table({parent: np.full(len(hi), block), "hi": hi, "last": last, "last_rn": last_rn, "cuts": cuts})
+        first, *cols = _columns(table, ("first", *_NODE_COLS), "hi")
+        start = int(first.min())
+        return _summary(key[0].as_py(), start, _summarise(*cols, start, target))
 
-    return nodes.groupBy(parent).applyInArrow(fold, f"{parent} bigint, {_NODE}")
+    parents = nodes.withColumn("parent", int_div(F.col("block"), fan_in))
+    return parents.groupBy("parent").applyInArrow(fold, f"block bigint, {_NODE}")
 
 
 def _states_for(blocks: np.ndarray, visited: np.ndarray, states: np.ndarray):
@@ -200,11 +208,6 @@ def _states_for(blocks: np.ndarray, visited: np.ndarray, states: np.ndarray):
     return distinct, states[np.searchsorted(blocks[visited], distinct, side="left")]
 
 
-def block_span(target: int) -> int:
-    """Tokens per coordinate block: many targets, but a bounded number of documents."""
-    return target * max(4, min(4_096, 2**25 // target))
-
-
 def greedy_cut(
     docs: DataFrame,
     target: int,
@@ -213,8 +216,8 @@ def greedy_cut(
     start: str = "start",
     length: str = "len",
     row: str = "rn",
-    span: int | None = None,
-    superblock: int = SUPERBLOCK,
+    block_rows: int = BLOCK_ROWS,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Cut ordered rows into bins that close at the row where their sum reaches ``target``.
 
@@ -226,45 +229,40 @@ def greedy_cut(
     """
     if target <= 0:
         raise ValueError("target must be > 0")
-    span = span or block_span(target)
-    top_span = span * superblock
-
     leaves = docs.select(
         F.col(order).cast("bigint").alias("ord"),
         (F.col(start) + F.col(length)).cast("bigint").alias("hi"),
         F.col(length).cast("bigint").alias("len"),
         F.col(row).cast("bigint").alias("rn"),
-    ).withColumn("block", int_div(F.col("hi"), span))
+    ).withColumn("block", int_div(F.col("rn"), block_rows))
 
     def fold_leaves(key, table):
-        block = key[0].as_py()
-        hi, rn = _columns(table, ("hi", "rn"), "hi")
-        hi, last, last_rn, cuts = _summarise(hi, hi, rn, np.ones(len(hi), dtype=np.int64), block * span, target)
-        return pa.table({"block": np.full(len(hi), block), "hi": hi, "last": last, "last_rn": last_rn, "cuts": cuts})
-
-    blocks = materialise(
-        leaves.groupBy("block").applyInArrow(fold_leaves, f"block bigint, {_NODE}")
-        .withColumn("super", int_div(F.col("block"), superblock))
-    )
-    supers = _fold(blocks, "block", "super", top_span, target)
-
-    def walk_top(table):
-        ids, *cols = _columns(table, ("super", *_NODE_COLS), "hi")
-        visited, states = _walk(*cols, 0, -1, 0, target)
-        distinct, state = _states_for(ids, visited, states)
-        return pa.table({"super": distinct, "base": state[:, 0], "base_rn": state[:, 1], "count": state[:, 2]})
-
-    super_states = supers.withColumn("chain", F.lit(0)).groupBy("chain").applyInArrow(walk_top, f"super bigint, {_STATE}")
-
-    def walk_super(left, right):
-        ids, *cols = _columns(left, ("block", *_NODE_COLS), "hi")
-        entry = (right.column(c)[0].as_py() for c in ("base", "base_rn", "count"))
+        hi, rn, size = _columns(table, ("hi", "rn", "len"), "hi")
+        begin = int(hi[0] - size[0])
+        return _summary(key[0].as_py(), begin, _summarise(hi, hi, rn, np.ones(len(hi), dtype=np.int64), begin, target))
+
+    levels = [materialise(leaves.groupBy("block").applyInArrow(fold_leaves, f"block bigint, {_NODE}"))]
+    blocks = (levels[0].agg(F.max("block")).first()[0] or 0) + 1
+    while blocks > fan_in:
+        levels.append(materialise(_fold(levels[-1], fan_in, target)))
+        blocks = -(-blocks // fan_in)
+
+    def walked(table, entry):
+        ids, *cols = _columns(table, ("block", *_NODE_COLS), "hi")
         visited, states = _walk(*cols, *entry, target)
         distinct, state = _states_for(ids, visited, states)
         return pa.table({"block": distinct, "base": state[:, 0], "base_rn": state[:, 1], "count": state[:, 2]})
 
-    block_states = blocks.groupBy("super").cogroup(super_states.groupBy("super")).applyInArrow(
-        walk_super, f"block bigint, {_STATE}")
+    top = levels.pop().withColumn("chain", F.lit(0)).groupBy("chain")
+    block_states = top.applyInArrow(lambda table: walked(table, (0, -1, 0)), f"block bigint, {_STATE}")
+
+    def walk_below(left, right):
+        return walked(left, (right.column(c)[0].as_py() for c in ("base", "base_rn", "count")))
+
+    while levels:
+        below = levels.pop().withColumn("parent", int_div(F.col("block"), fan_in))
+        block_states = below.groupBy("parent").cogroup(block_states.groupBy("block")).applyInArrow(
+            walk_below, f"block bigint, {_STATE}")
 
     def number(left, right):
         ids, hi, length_, rn = _columns(left, ("ord", "hi", "len", "rn"), "hi")

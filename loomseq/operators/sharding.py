@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import words as W
 from ..functions.numeric import shard_stem
 from ..session import materialise, spread_by
-from .ordered import BUCKET_WIDTH, greedy_cut, prefix_sums
+from .ordered import BLOCK_ROWS, BUCKET_WIDTH, FAN_IN, greedy_cut, prefix_sums
 
 
 def spread(corpus: DataFrame, order: str = "doc_id") -> DataFrame:
@@ -85,8 +85,8 @@ def assign_shards(
     max_tokens: int | None = None,
     order: str = "doc_id",
     width: int = BUCKET_WIDTH,
-    span: int | None = None,
-    superblock: int = 4_096,
+    block_rows: int = BLOCK_ROWS,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Document index ``(doc_id, shard_idx, doc_ix, start, end)`` of all token shards.
 
@@ -97,7 +97,7 @@ def assign_shards(
     lengths = materialise(lengths)
     check_order_key(lengths, order)
     running = cap_tokens(running_lengths(lengths, order, width), max_tokens)
-    cut = greedy_cut(materialise(running), tokens_per_shard, order=order, span=span, superblock=superblock)
+    cut = greedy_cut(materialise(running), tokens_per_shard, order=order, block_rows=block_rows, fan_in=fan_in)
     return materialise(cut.select(
         order, F.col("bin").alias("shard_idx"), F.col("ix").alias("doc_ix"), "start", "end"))
 

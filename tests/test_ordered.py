@@ -30,9 +30,9 @@ def shapes():
 @pytest.mark.parametrize("name,lengths", list(shapes()), ids=[n for n, _ in shapes()])
 def test_cut_equals_running_sum(spark, name, lengths):
     df, rows = lengths_table(spark, lengths)
-    for target, span, fan, width in [(17, 40, 2, 16), (100, None, 4_096, 65_536), (10, 1_000, 3, 100)]:
-        got = S.assign_shards(df, target, span=span, superblock=fan, width=width)
-        assert sorted(tuple(r) for r in got.collect()) == plain.cut(rows, target), (name, target, span)
+    for target, size, fan, width in [(17, 5, 2, 16), (100, 65_536, 8, 65_536), (10, 40, 3, 100), (300, 1, 2, 100)]:
+        got = S.assign_shards(df, target, block_rows=size, fan_in=fan, width=width)
+        assert sorted(tuple(r) for r in got.collect()) == plain.cut(rows, target), (name, target, size)
 
 
 def test_block_summary_is_small_when_lengths_vary():
@@ -107,3 +107,30 @@ def test_prefix_sums_over_awkward_keys(spark, kind):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(ranges) > 1 and max(r["count"] for r in ranges) < 200
+
+
+@pytest.mark.parametrize("kind", ["mixed", "equal"])
+def test_folds_stay_small_at_large_targets(kind):
+    """At a target of 100 million tokens no fold takes more than two million rows."""
+    rng = np.random.default_rng(1)
+    target, blocks, rows, fan = (100_000_000, 64, O.BLOCK_ROWS, O.FAN_IN)
+    size = {"mixed": lambda: rng.integers(1, 800, rows), "equal": lambda: np.full(rows, 400)}[kind]
+    at, number, level, lengths = 0, 0, [], []
+    for _ in range(blocks):
+        length = size()
+        hi = at + np.cumsum(length)
+        level.append((at, O._summarise(hi, hi, number + np.arange(rows), np.ones(rows, dtype=np.int64), at, target)))
+        at, number = int(hi[-1]), number + rows
+        lengths.append(length)
+    largest = 0
+    while len(level) > fan:
+        folded = []
+        for k in range(0, len(level), fan):
+            nodes = [np.concatenate(c) for c in zip(*(n for _, n in level[k : k + fan]))]
+            largest = max(largest, len(nodes[0]))
+            folded.append((level[k][0], O._summarise(*nodes, level[k][0], target)))
+        level = folded
+    nodes = [np.concatenate(c) for c in zip(*(n for _, n in level))]
+    assert max(largest, len(nodes[0])) <= 2_100_000
+    _, states = O._walk(*nodes, 0, -1, 0, target)
+    assert states[-1][2] == len(O.cut_positions(np.concatenate(lengths), target))
