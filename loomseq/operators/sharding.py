@@ -146,12 +146,18 @@ def metadata_column(metadata: dict[str, str]) -> Column:
     return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
 
 
-def shard_index(doc_index: DataFrame, metadata: dict[str, str]) -> DataFrame:
-    """One row per shard: stem, ordered document offsets, token count, metadata, JSON."""
+def shard_index(doc_index: DataFrame, metadata: dict[str, str], own: DataFrame | None = None) -> DataFrame:
+    """One row per shard: stem, ordered document offsets, token count, metadata, JSON.
+
+    ``own`` (shard_idx, own: map) adds metadata of each shard to the common one.
+    """
     per_shard = doc_index.groupBy("shard_idx").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("documents"),
         F.sum(F.col("end") - F.col("start")).alias("num_tokens"),
     ).withColumn("metadata", metadata_column(metadata))
+    if own is not None:
+        per_shard = per_shard.join(own, "shard_idx", "left").withColumn(
+            "metadata", F.when(F.col("own").isNull(), F.col("metadata")).otherwise(F.map_concat("metadata", "own")))
     return per_shard.select(
         "shard_idx",
         shard_stem(F.col("shard_idx")).alias("stem"),

@@ -274,8 +274,12 @@ def statements() -> dict[str, str]:
         "capped_shards": _with(capped, 'SELECT doc_id, shard_idx, doc_ix, "start", "end" FROM idx'),
         "shard_assign": _with(_INDEX, 'SELECT doc_id, shard_idx, doc_ix, "start", "end" FROM idx'),
         "shard_index": _index_json(),
-        "dataset_metadata": " UNION ALL ".join(
-            f"SELECT '{k}' AS name, '{v}' AS value, true AS all_equal" for k, v in METADATA.items()),
+        "dataset_metadata": _with(_INDEX + """,
+          langs AS (SELECT shard_idx, string_agg(DISTINCT lang, ',' ORDER BY lang) AS l
+                    FROM idx JOIN documents USING (doc_id) GROUP BY shard_idx)""", """
+          SELECT name, value, (SELECT count(DISTINCT l) = 1 FROM langs) AS all_equal FROM (""" + " UNION ALL ".join(
+            f"SELECT '{k}' AS name, '{v}' AS value" for k, v in METADATA.items()) + """
+          UNION ALL SELECT 'languages', l FROM langs WHERE shard_idx = 0)"""),
         "run_totals": _with(_INDEX, """
           SELECT count(*) AS documents, sum(n)::BIGINT AS tokens, max(shard_idx) + 1 AS shards FROM idx"""),
         "skipped_documents": f"""

@@ -143,7 +143,12 @@ def shard_index(spark, sf):
 
 
 def dataset_metadata(spark, sf):
-    meta = S.dataset_metadata(S.shard_index(_index(spark, sf), METADATA))
+    """Metadata of the first shard, the languages it holds among them, and whether all shards agree."""
+    index = _index(spark, sf)
+    langs = F.array_join(F.array_sort(F.collect_set("lang")), ",")
+    own = index.join(_documents(spark, sf).select("doc_id", "lang"), "doc_id").groupBy("shard_idx").agg(
+        F.create_map(F.lit("languages"), langs).alias("own"))
+    meta = S.dataset_metadata(S.shard_index(index, METADATA, own))
     return meta.select(F.explode("metadata").alias("name", "value"), "all_equal")
 
 
@@ -555,7 +560,8 @@ def raw_shard_sequences(spark, sf):
 def shard_table_round_trip(spark, sf):
     """Shards written as a Parquet table and read back with their index JSON."""
     path, index = new_folder(spark, "shards"), _index(spark, sf)
-    shard_table.write_shards(S.shard_rows(index, _tokens(spark, sf)), f"{path}/tokens")
+    shard_table.write_shards(S.shard_rows(index, _tokens(spark, sf)), f"{path}/tokens",
+                             per_file=shard_table.shards_per_file(SETTINGS.tokens_per_shard))
     shard_table.write_index(S.shard_index(index, METADATA), f"{path}/index")
     parsed = shard_table.parse_index_json(spark.read.parquet(f"{path}/index").select("shard_idx", "index_json"))
     rows = shard_table.read_shards(spark, f"{path}/tokens").groupBy("shard_idx").agg(

@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import int_div
 
-#: shards per partition folder, and per file within it
+#: shards per partition folder, and bytes of tokens that a file aims at
 SHARDS_PER_FOLDER = 4_096
-SHARDS_PER_FILE = 64
+FILE_BYTES = 256 * 2**20
 
 
-def write_shards(rows: DataFrame, path: str, *, per_folder: int = SHARDS_PER_FOLDER,
-                 per_file: int = SHARDS_PER_FILE, mode: str = "errorifexists") -> None:
-    """Write ``(shard_idx, doc_ix, tokens, ...)`` so that one shard lies in one file.
+def shards_per_file(tokens_per_shard: int, file_bytes: int = FILE_BYTES) -> int:
+    """Shards of four-byte tokens that make a file of about ``file_bytes``; one at least."""
+    return max(1, min(SHARDS_PER_FOLDER, file_bytes // (4 * max(tokens_per_shard, 1))))
 
-    Neighbouring shards share a file and folders hold thousands of shards: one
+
+def write_shards(rows: DataFrame, path: str, *, per_file: int, per_folder: int = SHARDS_PER_FOLDER,
+                 mode: str = "errorifexists") -> None:
+    """Write ``(shard_idx, doc_ix, tokens, ...)`` so that one shard lies in one file of ``per_file`` shards.
+
+    :func:`shards_per_file` gives a number that suits the shard size. Neighbouring shards share a file and folders hold thousands of shards: one
     folder per shard would not survive millions of shards.
     """
     folder = int_div(F.col("shard_idx"), per_folder)
