@@ -158,6 +158,7 @@ def _slices(texts: pa.Array):
         last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + SLICE_BYTES, "right")))
         yield first, last
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 UNKNOWN = "und"
 #: characters of text worked on at once
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + SLICE_CHARS, "right")))
         yield first, texts.slice(first, last - first).to_pylist()
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 def learn(docs: DataFrame, settings: HyperSettings = HyperSettings()) -> dict[str, np.ndarray]:

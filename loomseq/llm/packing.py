@@ -18,6 +18,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 
 #: id that ends every document
 END_ID = 1
-#: characters of text tokenised and packed at once
-SLICE_CHARS = 8_000_000
+#: bytes of text whose distinct words are encoded together, and of which ids are made and packed at once
+WORDS_BYTES, IDS_BYTES = 16_000_000, 4_000_000
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
     "offset bigint, context bigint, step_group bigint")
@@ -64,13 +65,15 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
-    def _each(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _each(self, texts: list[str], at_once: int = 10_000) -> list[list[int]]:
+        # encodings hold much more than the ids: a few at a time
+        return [e.ids for k in range(0, len(texts), at_once)
+                for e in self.tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False)]
 
     def _letters(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
         groups = [pieces[i : i + self.group] for i in range(0, len(pieces), self.group)]
-        for group, ids in zip(groups, self._each([" ".join(g) for g in groups]), strict=True):
+        for group, ids in zip(groups, self._each([" ".join(g) for g in groups], 20), strict=True):
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(group) and cuts[-1] == len(ids):
                 out += [ids[a:b] for a, b in zip([0, *cuts], cuts)]
@@ -93,20 +96,42 @@ class WordEncoder:
         rest = iter(self._each([w for w, p in zip(distinct, parts) if p is None]))
         return [next(rest) if p is None else of_letters[p[0]] + of_tails[p[1]] for p in parts]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, each ended by ``END_ID``, and the texts' bounds in them."""
+    def encode(self, texts: pa.Array) -> EncodedTexts:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         per_word = self._words(coded.dictionary.to_pylist()) + [[END_ID]]
         sizes = np.fromiter(map(len, per_word), dtype=np.int64, count=len(per_word))
-        flat = np.fromiter((i for ids in per_word for i in ids), dtype=np.uint32, count=int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
-        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        flat = np.fromiter(chain.from_iterable(per_word), dtype=np.uint32, count=int(sizes.sum()))
+        ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
         codes = np.insert(coded.indices.to_numpy(), ends, len(per_word) - 1)
-        taken = sizes[codes]
+        return EncodedTexts(flat, sizes, codes, np.append(0, ends + np.arange(1, len(ends) + 1)))
+
+
+class EncodedTexts:
+    """Texts as word numbers, each ended by that of ``END_ID``, with the ids of every distinct word."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, bounds: np.ndarray):
+        self.flat, self.sizes, self.codes, self.bounds = flat, sizes, codes, bounds
+        self.begin = np.cumsum(sizes) - sizes
+
+    def ids(self, first: int, last: int) -> list[np.ndarray]:
+        """Ids of the texts from ``first`` up to ``last``."""
+        codes = self.codes[self.bounds[first] : self.bounds[last]]
+        taken = self.sizes[codes]
         total = np.cumsum(taken)
-        at = np.repeat(begin[codes] - (total - taken), taken) + np.arange(total[-1])
-        return flat[at], np.append(0, total[ends + np.arange(len(ends))])
+        at = np.repeat(self.begin[codes] - (total - taken), taken) + np.arange(total[-1])
+        ends = total[self.bounds[first + 1 : last + 1] - self.bounds[first] - 1]
+        return np.split(self.flat[at], ends[:-1])
+
+
+def _runs(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about ``size`` bytes."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy())
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + size, side="right")))
+        yield first, last
+        first = last
 
 
 class Piece:
@@ -239,15 +264,13 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, context: in
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = pc.fill_null(batch.column(1), "")
-            sizes = np.cumsum(pc.binary_length(texts).to_numpy())
-            first = 0
-            while first < len(texts):
-                before = sizes[first - 1] if first else 0
-                last = max(first + 1, int(np.searchsorted(sizes, before + SLICE_CHARS, side="right")))
-                tokens, bounds = encoder.encode(texts.slice(first, last - first))
-                docs = [Piece(d, tokens[a:b], 0, int(b - a)) for d, a, b in zip(ids[first:last], bounds, bounds[1:])]
-                yield rows(list(packer.pack(docs)))
-                first = last
+            for begin, end in _runs(texts, WORDS_BYTES):
+                part = texts.slice(begin, end - begin)
+                encoded = encoder.encode(part)
+                for first, last in _runs(part, IDS_BYTES):
+                    docs = [Piece(d, x, 0, len(x)) for d, x in zip(ids[begin + first : begin + last], encoded.ids(first, last), strict=True)]
+                    yield rows(list(packer.pack(docs)))
+                pa.default_memory_pool().release_unused()
         yield rows(list(packer.finish()))
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, SCHEMA)

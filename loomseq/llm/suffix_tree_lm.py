@@ -30,7 +30,7 @@ COMMON_SHARE = 1e-5
 #: bytes that mark the end and the space before the start; neither occurs in prepared UTF-8
 END, START = 0x0A, 0xFF
 #: bytes of text worked on at once
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_500_000
 #: steps that the automaton makes along each segment
 SEGMENT = 256
 
@@ -61,6 +61,7 @@ def _slices(texts: pa.Array):
         last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + SLICE_BYTES, "right")))
         yield first, last
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 def byte_stream(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
