@@ -86,6 +86,17 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_with_equal_words_and_short_lines_with_few_edits(spark):
+    rows = [
+        (1, "thintionble$$$ onwh.\r\nPrinted on the 12th of January\n--\n \t", "en"), (2, "Thintionble  onwh\nprinted\ton the 12th of (January)\n--", "en"),
+        (3, "invoicenumbers 2023 confidential", "en"), (4, "invoicenumbers 2024 confidential", "en"), (5, "invoicenumbers for others", "en"), (6, "ti |\nti.", "en")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("--", 2) and got[6] == ("ti |", 1)
+    a, b = "invoicenumbers 2023 confidential", "invoicenumbers 2024 confidential"
+    pairs = spark.createDataFrame([(a, b), (a, "invoicenumbers for others")], "a string, b string")
+    assert [r.s for r in pairs.select(line_dedup._similar("a", "b", 0.8).alias("s")).collect()] == [similar(a, b) >= 0.8, False] == [True, False]
+
+
 def test_lines_of_the_table_against_normalised_equality_and_edit_similarity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
