@@ -97,6 +97,33 @@ def test_lines_with_equal_words_and_short_lines_with_few_edits(spark):
     assert [r.s for r in pairs.select(line_dedup._similar("a", "b", 0.8).alias("s")).collect()] == [similar(a, b) >= 0.8, False] == [True, False]
 
 
+def test_recall_of_line_pairs_by_length(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(2, 10))))
+    # (words, changed words): share of the pairs of edit similarity 0.8 and more that must be found; 3 of 8 blocks, no pair dropped unseen
+    least = {(10, 1): 0.38, (20, 2): 0.35, (20, 4): 0.08, (50, 5): 0.38, (50, 10): 0.08, (100, 3): 0.8}
+    rows, kind = [], {}
+    for case in least:
+        made = 0
+        while made < 150:
+            one = [word() for _ in range(case[0])]
+            two = list(one)
+            for at in rng.choice(case[0], case[1], replace=False):
+                two[at] = word()
+            if case[0] > 20 or similar(" ".join(one), " ".join(two)) >= 0.8:
+                kind[len(rows) + 1] = case
+                rows += [(len(rows), " ".join(one), "en"), (len(rows) + 1, " ".join(two), "en")]
+                made += 1
+    texts = dict((i, t) for i, t, _ in rows)
+    out = line_dedup.dedup_lines(frame(spark, rows)).where("n_removed > 0").select("doc_id").collect()
+    hit = collections.Counter(kind[r.doc_id] for r in out)
+    whole = spark.createDataFrame([(i, texts[i - 1], texts[i]) for i in kind], "i long, a string, b string")
+    alike = collections.Counter(kind[r.i] for r in whole.where(line_dedup._similar("a", "b", 0.8)).select("i").collect())
+    found = {case: hit[case] / alike[case] for case in least}
+    print(found)  # the README names these
+    assert all(found[case] >= least[case] for case in least), found
+
+
 def test_lines_of_the_table_against_normalised_equality_and_edit_similarity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
