@@ -124,6 +124,21 @@ def test_recall_of_line_pairs_by_length(spark):
     assert all(found[case] >= least[case] for case in least), found
 
 
+def test_votes_of_lines_and_lines_that_differ_in_short_words(spark):
+    rng = np.random.default_rng(8)
+    lines = [f"page {a} of {b}" for a, b in rng.integers(100, 999, (300, 2))] + ["a b c", "the " * 300 + "house " * 201, "the " * 300 + "house " * 200]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    nodes = line_dedup.occurrences(docs).orderBy("doc_id").collect()
+    assert len({r.sim for r in nodes[:300]}) > 30  # short words vote
+    hashes = {w: h for w, h in spark.createDataFrame([(w,) for w in {w for x in lines for w in x.split()}], "w string").select("w", F.xxhash64("w")).collect()}
+    place = lambda b: 18 * (b // 9 // 2) + 9 * (b // 9 % 2) + b % 9
+    for r in (*nodes[:5], *nodes[300:]):
+        ws = lines[r.doc_id].split()
+        weight = [3 if len(w) >= 4 else 1 for w in ws]
+        votes = [sum(v for w, v in zip(ws, weight) if hashes[w] >> b & 1) for b in range(63)]
+        assert r.sim == sum(1 << place(b) for b in range(63) if 2 * votes[b] > sum(weight))
+
+
 def test_lines_of_the_table_against_normalised_equality_and_edit_similarity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
