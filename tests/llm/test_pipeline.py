@@ -25,6 +25,14 @@ def test_names_of_queries():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.registry()) == list(range(1, 11))
 
 
+def test_language_stage_without_labels_keeps_texts_with_letters(spark, sf_dir):
+    docs = spark.createDataFrame(
+        [(1, "the cat", None, "s", 7), (2, "12 ? !", None, "s", 6), (3, None, None, "s", 0), (4, "é", None, "s", 1)],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    told = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, sf_dir)
+    assert sorted(map(tuple, told.collect())) == [(1, "the cat", None, "s", 7), (4, "é", None, "s", 1)]
+
+
 def test_stages_against_plain_versions(spark, sf_dir):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language_id", "line_dedup", "near_dedup", "decontamination", "packing"]
