@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .bagminhash import near_duplicates
 from .decontamination import contamination
+from .dual_tree_search import rank_documents
 from .embedding_dedup import link_vectors
 from .html_extraction import extract
 from .language_id import identify
@@ -15,6 +16,8 @@ from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .quality import score_quality
+from .secret_scan import find_secrets
+from .spelling_variants import group_variants
 from .suffix_tree_lm import score_texts
 
 
@@ -69,7 +72,20 @@ def op10_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("print")
 
 
+def op11_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(_table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_embedding_near_dedup, op2_language_id, op3_line_dedup, op4_winnowing_decontamination,
-        op5_license_scan, op6_html_extraction, op7_quality, op8_suffix_tree_lm, op9_packing, op10_bagminhash_near_dedup)}
+        op5_license_scan, op6_html_extraction, op7_quality, op8_suffix_tree_lm, op9_packing, op10_bagminhash_near_dedup,
+        op11_dual_tree_search, op12_secret_scan, op13_spelling_variants)}
