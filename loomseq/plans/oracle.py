@@ -451,6 +451,11 @@ def statements() -> dict[str, str]:
     out["raw_shard_round_trip"] = _with(_INDEX, """
       SELECT shard_idx, doc_ix, "start", "end", array_to_string(tokens, ',') AS tokens
       FROM idx JOIN doc_tokens USING (doc_id)""")
+    out["raw_shard_stream"] = out["raw_shard_round_trip"]
+    out["raw_shard_pick"] = out["raw_shard_round_trip"] + " WHERE shard_idx % 3 = 0 AND doc_ix >= 5 AND doc_ix < 20"
+    out["stream_packed_sequences"] = out["packed_sequences"]
+    out["stream_packing_rest"] = out["packing_rest"]
+    out["stream_metric_log"] = out["metric_log"]
     out["raw_shard_index"] = _with(_INDEX, """
       SELECT shard_idx, 'shard_' || lpad(shard_idx::VARCHAR, 5, '0') AS stem, count(*) AS documents,
         sum(n)::BIGINT AS num_tokens, sum(n)::BIGINT AS written FROM idx GROUP BY shard_idx""")

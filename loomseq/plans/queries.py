@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import markers as M
@@ -22,10 +23,11 @@ from ..operators import scores as C
 from ..operators import sharding as S
 from ..operators import structure as L
 from ..operators import vocabulary as Y
-from ..session import as_local_path, materialise, new_folder
+from ..session import materialise, new_folder
 from ..sources import metric_sink, raw_shards, shard_table
 from ..sources.corpus import read_conversations, read_corpus, read_subjects, repeated_pair, stream_corpus
 from ..streaming import jobs as R
+from ..streaming import packing as Q
 from . import fixtures, jobs
 
 #: settings of all registered queries
@@ -437,8 +439,8 @@ def masked_loss(spark, sf):
     return loss.select(*KEY, F.round("loss", 4).alias("loss_milli"))
 
 
-def metric_log(spark, sf):
-    """Loss and marker accuracy per sequence as steps of its (epoch, rank) run, at logged steps."""
+def _measured(spark, sf) -> DataFrame:
+    """Loss and marker accuracy per sequence as steps of its (epoch, rank) run."""
     bins = P.number_sequences(_bins(spark, sf))
     packed = jobs.sequences(bins, _tokens(spark, sf), SETTINGS)
     key = [*KEY, "seq_ix"]
@@ -446,12 +448,20 @@ def metric_log(spark, sf):
     rows = fixtures.predictions(long, KEY)
     measured = X.step_metrics(
         rows, SETTINGS.marker_id, by=["epoch", "rank", "seq_ix"], key=KEY, logp="logp_milli")
-    steps = X.log_steps(measured.withColumnRenamed("seq_ix", "step"), 10)
+    return measured.withColumnRenamed("seq_ix", "step")
+
+
+def _metric_rows(steps: DataFrame) -> DataFrame:
     run = F.concat(F.lit("epoch"), F.col("epoch"), F.lit("-rank"), F.col("rank"))
     return X.to_metrics(steps, run, {
         "loss_milli": F.round("loss", 4), "ckpt_acc": F.round("marker_accuracy", 6)})
 
 
+def metric_log(spark, sf):
+    """Metric rows of the logged steps."""
+    return _metric_rows(X.log_steps(_measured(spark, sf), 10))
+
+
 # --- vectors -----------------------------------------------------------------------------------
 
 def _vectors(spark, sf) -> DataFrame:
@@ -529,7 +539,7 @@ def scalar_helpers(spark, sf):
 # --- files -------------------------------------------------------------------------------------
 
 def _export(spark, sf) -> tuple[str, DataFrame]:
-    path = as_local_path(new_folder(spark, "raw"))
+    path = new_folder(spark, "raw")
     rows = S.shard_rows(_index(spark, sf), _tokens(spark, sf))
     return path, raw_shards.export_raw_shards(rows, path, METADATA)
 
@@ -540,6 +550,25 @@ def raw_shard_round_trip(spark, sf):
     return raw_shards.read_raw_shards(spark, path).select("shard_idx", "doc_ix", "start", "end", _text("tokens"))
 
 
+def raw_shard_pick(spark, sf):
+    """Some documents of every third shard; only the byte ranges they lie in are read."""
+    path, _ = _export(spark, sf)
+    shards = raw_shards.read_index(spark, path).agg(F.max("shard_idx")).first()[0]
+    rows = raw_shards.read_raw_shards(spark, path, shards=range(0, shards + 1, 3), documents=(5, 20))
+    return rows.select("shard_idx", "doc_ix", "start", "end", _text("tokens"))
+
+
+def raw_shard_stream(spark, sf):
+    """Raw shards that arrive in three parts, read by one stream that stops and goes on."""
+    path, out = new_folder(spark, "raw"), new_folder(spark, "arrived")
+    rows = materialise(S.shard_rows(_index(spark, sf), _tokens(spark, sf)))
+    shards = rows.agg(F.max("shard_idx")).first()[0] + 1
+    for part in range(3):
+        raw_shards.write_raw_shards(rows.where(F.floor(3 * F.col("shard_idx") / shards) == part), path, METADATA)
+        R.start_table(raw_shards.stream_raw_shards(spark, path), f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/table").select("shard_idx", "doc_ix", "start", "end", _text("tokens"))
+
+
 def raw_shard_index(spark, sf):
     """Raw shard files discovered, paired and joined to their index and manifest."""
     path, manifest = _export(spark, sf)
@@ -612,6 +641,66 @@ def stream_pack_bins(spark, sf):
     return _drain(spark, R.pack_stream(dealt, SETTINGS.sequence_length, SETTINGS.stride), "pack")
 
 
+def _stream_sequences(spark, sf) -> str:
+    """Folder of the sequences packed by a stream that is stopped and started between arrivals."""
+    out, shape = new_folder(spark, "sequences"), "epoch int, shard_idx bigint, rank int, turn bigint, doc_id bigint, len bigint"
+    dealt = materialise(_dealt(spark, sf).select(
+        "epoch", "shard_idx", "rank", F.col("turn").cast("bigint"), "doc_id", (F.col("end") - F.col("start")).alias("len")))
+    _tokens(spark, sf).write.parquet(f"{out}/tokens")
+    docs = spark.read.parquet(f"{out}/tokens")
+    waves = [dealt.where((F.col("epoch") == e) & late) for e in range(SETTINGS.epochs) for late in (F.col("turn") < 20, F.col("turn") >= 20)]
+    # the last arrival has no document; it moves the watermark past all timers
+    waves.append(spark.createDataFrame([(-1, -1, -1, 0, -1, 0)], shape))
+    for number, wave in enumerate(waves):
+        at = 60 * (number + 1) if number + 1 < len(waves) else 86_400
+        wave.withColumn("arrived", F.timestamp_seconds(F.lit(at))).write.mode("append").parquet(f"{out}/dealt")
+        arriving = spark.readStream.schema(f"{shape}, arrived timestamp").parquet(f"{out}/dealt")
+        plan = Q.pack_stream_until(
+            arriving, sequence_length=SETTINGS.sequence_length, stride=SETTINGS.stride, timeout="90 seconds")
+        Q.start_sequences(
+            plan, docs, out, f"{out}/checkpoint", sequence_length=SETTINGS.sequence_length, stride=SETTINGS.stride,
+            marker_id=SETTINGS.marker_id, bos_id=SETTINGS.bos_id, pad_id=SETTINGS.pad_id).awaitTermination()
+    return out
+
+
+def stream_packed_sequences(spark, sf):
+    """Token arrays of the sequences that a stream of dealt documents closes."""
+    return Q.read_sequences(spark, _stream_sequences(spark, sf)).select(*KEY, _text("tokens"))
+
+
+def stream_packing_rest(spark, sf):
+    """What the same stream gives out as open rests once the watermark has passed."""
+    return Q.open_rests(Q.read_plan(spark, _stream_sequences(spark, sf)))
+
+
+def _broken_off(each, after: int):
+    """``each``, failing once when it has written batch ``after`` and before the stream records that."""
+    failed = []
+
+    def run(rows, batch_id):
+        each(rows, batch_id)
+        if batch_id == after and not failed:
+            failed.append(batch_id)
+            raise RuntimeError(f"broken off after batch {batch_id} was written")
+
+    return run
+
+
+def stream_metric_log(spark, sf):
+    """Metric rows logged by a stream that breaks off after a batch was written, and replays it."""
+    path = new_folder(spark, "metrics")
+    rows = materialise(_metric_rows(_measured(spark, sf)))
+    rows.repartition(4, "step").write.parquet(f"{path}/in")
+    stream = X.log_steps(
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), 10)
+    each = _broken_off(lambda batch, n: metric_sink.log_batch(batch, f"{path}/out", "metrics", n), after=1)
+    try:
+        R.start_batches(stream, each, f"{path}/checkpoint").awaitTermination()
+    except StreamingQueryException:
+        R.start_batches(stream, each, f"{path}/checkpoint").awaitTermination()
+    return metric_sink.read_logged(spark, f"{path}/out")
+
+
 ALL: tuple[Query, ...] = (
     sequence_summary,
     tokenize_docs, conversation_tokens, insert_markers, insert_markers_labels, wrap_documents, sample_cap, token_cap, capped_shards,
@@ -626,8 +715,8 @@ ALL: tuple[Query, ...] = (
     next_token_targets, shifted_labels, marker_accuracy, masked_loss, metric_log,
     scaled_scores, plain_scores, log_softmax, log_softmax_rows, vocab_argmax, vocab_argmax_rows,
     scalar_helpers,
-    raw_shard_round_trip, raw_shard_index, raw_shard_sequences, shard_table_round_trip, metric_table,
-    stream_tokenize, stream_shard_assign, stream_pack_bins,
+    raw_shard_round_trip, raw_shard_pick, raw_shard_stream, raw_shard_index, raw_shard_sequences, shard_table_round_trip, metric_table,
+    stream_tokenize, stream_shard_assign, stream_pack_bins, stream_packed_sequences, stream_packing_rest, stream_metric_log,
 )
 
 

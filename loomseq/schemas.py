@@ -53,6 +53,27 @@ PACKED = T.StructType([
     T.StructField("tokens", T.ArrayType(T.IntegerType(), False), False),
 ])
 
+SEQUENCES = T.StructType([
+    T.StructField("epoch", T.IntegerType(), True),
+    T.StructField("shard_idx", T.LongType(), True),
+    T.StructField("rank", T.IntegerType(), True),
+    T.StructField("bin", T.LongType(), True),
+    T.StructField("tokens", T.ArrayType(T.IntegerType()), True),
+])
+
+# closed tells full sequences from open rests
+STREAM_PLAN = T.StructType([
+    T.StructField("epoch", T.IntegerType(), True),
+    T.StructField("shard_idx", T.LongType(), True),
+    T.StructField("rank", T.IntegerType(), True),
+    T.StructField("bin", T.LongType(), True),
+    T.StructField("ord", T.IntegerType(), True),
+    T.StructField("doc_id", T.LongType(), True),
+    T.StructField("len", T.LongType(), True),
+    T.StructField("seq_start", T.LongType(), True),
+    T.StructField("closed", T.BooleanType(), True),
+])
+
 MULTIPLE_CHOICE = T.StructType([
     T.StructField("subject", T.StringType(), True),
     T.StructField("item_id", T.LongType(), False),

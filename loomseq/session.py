@@ -45,14 +45,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def as_local_path(path: str) -> str:
-    """Path of a mounted folder for code that opens files itself."""
-    path = path.removeprefix("file://").removeprefix("file:")
-    if not os.path.isabs(path):
-        raise ValueError(f"needs a folder mounted on all machines, not {path}")
-    return path
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and go on from there.
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.metrics import log_steps
 from ..operators.ordered import cut_positions
 from ..operators.sharding import tokenize
-from ..sources.metric_sink import write_metrics
+from ..sources.metric_sink import log_batch
 
 
 def tokenize_stream(corpus: DataFrame, tokenizer: Column | None = None) -> DataFrame:
@@ -106,6 +106,8 @@ def start_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def start_metric_log(metrics: DataFrame, path: str, checkpoint: str, *, every: int, once: bool = True) -> StreamingQuery:
-    """Append arriving metric rows at logged steps to the metric table."""
-    return start_batches(log_steps(metrics, every), lambda rows, _: write_metrics(rows, path), checkpoint, once=once)
+def start_metric_log(metrics: DataFrame, path: str, checkpoint: str, *, every: int, writer: str = "metrics",
+                     once: bool = True) -> StreamingQuery:
+    """Append arriving metric rows at logged steps to the metric table, every micro-batch once."""
+    return start_batches(
+        log_steps(metrics, every), lambda rows, batch_id: log_batch(rows, path, writer, batch_id), checkpoint, once=once)

@@ -42,9 +42,9 @@ def test_raw_round_trip(spark, rows, tmp_path, monkeypatch):
 def test_raw_read_in_small_pieces(spark, rows, tmp_path, monkeypatch):
     path = str(tmp_path / "raw")
     raw_shards.export_raw_shards(rows, path, {})
-    monkeypatch.setattr(raw_shards, "BYTES_PER_TASK", 1)
+    monkeypatch.setattr(raw_shards, "LEAST_BYTES", 36)
     monkeypatch.setattr(raw_shards, "TOKENS_PER_BATCH", 2)
-    reader = raw_shards._RawShardReader(path)
+    reader = raw_shards.RawShardReader(path, 3)
     parts = reader.partitions()
     assert len(parts) == 3
     batches = [b for p in parts for b in reader.read(p)]

@@ -8,7 +8,7 @@ from loomseq import schemas
 from loomseq.operators import packing as P
 from loomseq.operators import sharding as S
 from loomseq.sources import corpus as R
-from loomseq.sources.metric_sink import read_metrics
+from loomseq.sources.metric_sink import read_logged
 from loomseq.streaming import jobs as J
 
 
@@ -72,4 +72,4 @@ def test_metric_log(spark, tmp_path):
     spark.createDataFrame(rows, schemas.METRICS).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schemas.METRICS).parquet(str(tmp_path / "in"))
     J.start_metric_log(stream, str(tmp_path / "out"), str(tmp_path / "state"), every=10).awaitTermination()
-    assert sorted(r.step for r in read_metrics(spark, str(tmp_path / "out")).collect()) == [0, 1, 10, 20]
+    assert sorted(r.step for r in read_logged(spark, str(tmp_path / "out")).collect()) == [0, 1, 10, 20]
