@@ -14,10 +14,9 @@ holds the ids of one slice of texts, and the carried rest is under one window.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -52,7 +51,8 @@ class WordEncoder:
     tells where one ends.
     """
 
-    _plain = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+    #: stem and tail of the words that share ids with their letters
+    _plain = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 
     def __init__(self, path: str, group: int = 500):
         import os
@@ -65,63 +65,87 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
-    def _each(self, texts: list[str], at_once: int = 10_000) -> list[list[int]]:
+    def _each(self, texts: list[str], at_once: int = 10_000) -> Iterator[list[int]]:
         # encodings hold much more than the ids: a few at a time
-        return [e.ids for k in range(0, len(texts), at_once)
-                for e in self.tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False)]
+        for k in range(0, len(texts), at_once):
+            for e in self.tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False):
+                yield e.ids
 
-    def _letters(self, pieces: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
+    def _lists(self, texts: list[str]) -> Lists:
+        return Lists.of(list(self._each(texts)))
+
+    def _letters(self, pieces: list[str]) -> Lists:
         groups = [pieces[i : i + self.group] for i in range(0, len(pieces), self.group)]
+        done = []
         for group, ids in zip(groups, self._each([" ".join(g) for g in groups], 20), strict=True):
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(group) and cuts[-1] == len(ids):
-                out += [ids[a:b] for a, b in zip([0, *cuts], cuts)]
-            else:
-                out += self._each(group)
-        return out
-
-    def _words(self, distinct: list[str]) -> list[list[int]]:
-        letters: dict[str, int] = {}
-        tails: dict[str, int] = {"": 0}
-        parts: list[tuple[int, int] | None] = []
-        for word in distinct:
-            m = self._plain.fullmatch(word)
-            stem = m and m[1]
-            if stem and stem.isalpha() and (stem.isascii() or max(stem) < "Ā"):
-                parts.append((letters.setdefault(stem.lower(), len(letters)), tails.setdefault(m[2], len(tails))))
-            else:
-                parts.append(None)
-        of_letters, of_tails = self._letters(list(letters)), self._each(list(tails))
-        rest = iter(self._each([w for w, p in zip(distinct, parts) if p is None]))
-        return [next(rest) if p is None else of_letters[p[0]] + of_tails[p[1]] for p in parts]
+            flat = np.array(ids, dtype=np.uint32)
+            cuts = np.flatnonzero(self.ends[flat]) + 1
+            whole = len(cuts) == len(group) and cuts[-1] == len(flat)
+            done.append(Lists(flat, np.diff(cuts, prepend=0)) if whole else self._lists(group))
+        return Lists.joined(done)
+
+    def _words(self, distinct: pa.Array) -> Lists:
+        """Ids of distinct words, and of the end of a document behind them."""
+        found = pc.extract_regex(distinct, self._plain)
+        plain = pc.is_valid(found).to_numpy(zero_copy_only=False)
+        found = found.drop_null()
+        stems = pc.utf8_lower(pc.struct_field(found, "stem")).dictionary_encode()
+        tails = pc.struct_field(found, "tail").dictionary_encode()
+        tables = (self._letters(stems.dictionary.to_pylist()), self._lists(tails.dictionary.to_pylist()),
+                  self._lists(distinct.filter(pa.array(~plain)).to_pylist()), Lists.of([[END_ID], []]))
+        first = np.cumsum([0] + [len(t.sizes) for t in tables])
+        parts = np.full((len(plain) + 1, 2), first[3] + 1)  # nothing
+        parts[:-1][plain, 0] = first[0] + stems.indices.to_numpy()
+        parts[:-1][plain, 1] = first[1] + tails.indices.to_numpy()
+        parts[:-1][~plain, 0] = first[2] + np.arange(len(tables[2].sizes))
+        parts[-1, 0] = first[3]
+        table = Lists.joined(tables)
+        return Lists(table.take(parts.ravel()), table.sizes[parts].sum(axis=1))
 
     def encode(self, texts: pa.Array) -> EncodedTexts:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        per_word = self._words(coded.dictionary.to_pylist()) + [[END_ID]]
-        sizes = np.fromiter(map(len, per_word), dtype=np.int64, count=len(per_word))
-        flat = np.fromiter(chain.from_iterable(per_word), dtype=np.uint32, count=int(sizes.sum()))
+        words = self._words(coded.dictionary)
         ends = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
-        codes = np.insert(coded.indices.to_numpy(), ends, len(per_word) - 1)
-        return EncodedTexts(flat, sizes, codes, np.append(0, ends + np.arange(1, len(ends) + 1)))
+        codes = np.insert(coded.indices.to_numpy(), ends, len(words.sizes) - 1)
+        return EncodedTexts(words, codes, np.append(0, ends + np.arange(1, len(ends) + 1)))
+
+
+class Lists:
+    """Lists of ids behind each other."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, sizes
+        self.begin = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Lists:
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        return cls(np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum())), sizes)
+
+    @classmethod
+    def joined(cls, parts: Iterable[Lists]) -> Lists:
+        parts = [cls.of([]), *parts]
+        return cls(np.concatenate([p.flat for p in parts]), np.concatenate([p.sizes for p in parts]))
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the lists of these numbers."""
+        taken = self.sizes[numbers]
+        total = np.cumsum(taken)
+        return self.flat[np.repeat(self.begin[numbers] - (total - taken), taken) + np.arange(taken.sum())]
 
 
 class EncodedTexts:
     """Texts as word numbers, each ended by that of ``END_ID``, with the ids of every distinct word."""
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, bounds: np.ndarray):
-        self.flat, self.sizes, self.codes, self.bounds = flat, sizes, codes, bounds
-        self.begin = np.cumsum(sizes) - sizes
+    def __init__(self, words: Lists, codes: np.ndarray, bounds: np.ndarray):
+        self.words, self.codes, self.bounds = words, codes, bounds
 
     def ids(self, first: int, last: int) -> list[np.ndarray]:
         """Ids of the texts from ``first`` up to ``last``."""
         codes = self.codes[self.bounds[first] : self.bounds[last]]
-        taken = self.sizes[codes]
-        total = np.cumsum(taken)
-        at = np.repeat(self.begin[codes] - (total - taken), taken) + np.arange(total[-1])
-        ends = total[self.bounds[first + 1 : last + 1] - self.bounds[first] - 1]
-        return np.split(self.flat[at], ends[:-1])
+        ends = np.cumsum(self.words.sizes[codes])[self.bounds[first + 1 : last + 1] - self.bounds[first] - 1]
+        return np.split(self.words.take(codes), ends[:-1])
 
 
 def _runs(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
