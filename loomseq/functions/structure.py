@@ -27,7 +27,7 @@ def count_up(first: Column, length: Column) -> Column:
     return F.when(length > 0, F.sequence(first, first + length - 1)).otherwise(_ints())
 
 
-def _runs(first: Column, inner: Column, end: Column) -> Column:
+def runs_between(first: Column, inner: Column, end: Column) -> Column:
     """Structs ``(start, len)`` of the pieces of ``[first, end)`` cut at the sorted ``inner`` boundaries.
 
     Starts and ends are two shifted arrays zipped once; a lookup of the next
@@ -65,7 +65,7 @@ def add_structure(
     t = F.col(tokens)
     ignored = [i for i in (marker_id, pad_id) if i is not None]
     out = df.withColumn("__pad", positions_of(t, pad_id)).withColumn("__mark", positions_of(t, marker_id))
-    whole = lambda inner: _runs(F.lit(0), inner, F.size(t))
+    whole = lambda inner: runs_between(F.lit(0), inner, F.size(t))
     out = (
         out.withColumn("__seg", whole(F.col("__pad"))).withColumn("__doc", whole(_after(F.col("__pad"))))
         .withColumn("__grp", whole(_after(F.col("__mark")))).withColumn("__gap", whole(F.col("__mark")))
@@ -73,7 +73,7 @@ def add_structure(
     seg, doc, grp, gap = (F.col(c) for c in ("__seg", "__doc", "__grp", "__gap"))
     marks_in = lambda d: F.filter(
         F.col("__mark"), lambda m: (m >= d["start"]) & (m < d["start"] + d["len"]))
-    runs_in = F.transform(doc, lambda d: _runs(d["start"], _after(marks_in(d)), d["start"] + d["len"]))
+    runs_in = F.transform(doc, lambda d: runs_between(d["start"], _after(marks_in(d)), d["start"] + d["len"]))
     out = out.withColumn("__runs", runs_in)
     # The j-th run of a document sees its own part so far and the j markers before it.
     reach = F.flatten(F.transform(F.col("__runs"), lambda rs: F.flatten(
@@ -136,12 +136,12 @@ def with_key_lists(df: DataFrame, *, marker_id: int, pad_id: int | None, tokens:
     none = F.array().cast("array<int>")
     cut = (
         df.withColumn("__mark", positions_of(t, marker_id))
-        .withColumn("__doc", _runs(F.lit(0), _after(positions_of(t, pad_id)), F.size(t)))
+        .withColumn("__doc", runs_between(F.lit(0), _after(positions_of(t, pad_id)), F.size(t)))
         .withColumn("__doc", F.transform("__doc", lambda d: F.struct(
             d["start"].alias("start"), d["len"].alias("len"),
             F.filter("__mark", lambda m: (m >= d["start"]) & (m < d["start"] + d["len"])).alias("marks"))))
         .withColumn("__run", F.flatten(F.transform("__doc", lambda d: F.transform(
-            _runs(d["start"], _after(d["marks"]), d["start"] + d["len"]),
+            runs_between(d["start"], _after(d["marks"]), d["start"] + d["len"]),
             lambda r, j: F.struct(r["start"].alias("start"), r["len"].alias("len"),
                                   F.slice(d["marks"], F.lit(1), j).alias("before"))))))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import masked_score, scaled_score
 
@@ -45,6 +45,48 @@ def log_softmax_long(logits: DataFrame, *, key: Sequence[str] = ("seq_id", "pos"
     return shifted.withColumn("logp", F.col(logit) - F.col("__max") - norm).drop("__max")
 
 
+#: logits of one bucket are summed as exponentials without overflow
+SPAN = 256.0
+
+
+def log_sum_exp(logits: DataFrame, *, key: Sequence[str], logit: str = "logit", first: dict[str, Column] | None = None) -> DataFrame:
+    """``(key, log_norm)``: the logarithm of the summed exponentials of every group.
+
+    Logits are bucketed by magnitude; a bucket's sum is taken relative to its middle,
+    so sums of one bucket add up anywhere and are combined before the shuffle, and
+    the few buckets of a group combine by their middles. No row waits for its group's
+    maximum. Logits of minus infinity add nothing, a group of only these has minus
+    infinity; NaN and null logits are refused. ``first`` names further maxima of a group.
+    """
+    first = first or {}
+    sound = F.when(F.col(logit).isNull() | F.isnan(logit), F.raise_error(F.lit("logit is null or NaN")).cast("double")).otherwise(F.col(logit))
+    value = F.when(sound == float("-inf"), F.lit(None)).otherwise(sound)
+    rows = logits.withColumn("__value", value).withColumn("__bucket", F.rint(F.col("__value") / SPAN))
+    part = rows.groupBy(*key, "__bucket").agg(
+        F.sum(F.exp(F.col("__value") - F.col("__bucket") * SPAN)).alias("__sum"), *[F.max(c).alias(n) for n, c in first.items()])
+    # buckets below the largest one lose at least e**SPAN against it
+    top = part.groupBy(*key).agg(
+        F.max(F.struct("__bucket", "__sum")).alias("__top"),
+        F.collect_list(F.struct("__bucket", "__sum")).alias("__all"), *[F.max(n).alias(n) for n in first])
+    total = F.aggregate("__all", F.lit(0.0), lambda s, b: s + F.coalesce(
+        b["__sum"] * F.exp((b["__bucket"] - F.col("__top.__bucket")) * SPAN), F.lit(0.0)))
+    return top.select(
+        *key, F.coalesce(F.col("__top.__bucket") * SPAN + F.log(total), F.lit(float("-inf"))).alias("log_norm"), *first)
+
+
+def logit_loss(logits: DataFrame, *, by: Sequence[str] = (), key: Sequence[str] = ("seq_id", "pos"), target: str = "target",
+               item: str = "token", logit: str = "logit") -> DataFrame:
+    """Mean of ``-log p(target)`` straight from long logits, and the number of positions it is over.
+
+    Every row names its position's target; positions with a null target, or one that no row
+    has, don't count.
+    """
+    chosen = F.when(F.col(item) == F.col(target), F.col(logit))
+    norms = log_sum_exp(logits, key=[*by, *key], logit=logit, first={"__chosen": chosen})
+    lost = F.col("log_norm") - F.col("__chosen")
+    return norms.groupBy(*by).agg(F.count(lost).alias("positions"), F.avg(lost).alias("loss"))
+
+
 def argmax_long(logits: DataFrame, *, key: Sequence[str] = ("seq_id", "pos"), item: str = "token",
                 logit: str = "logit") -> DataFrame:
     """Id of the largest logit, the lowest id on a tie; partial maxima before the shuffle."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions import words as W
 from ..functions.numeric import shard_stem
@@ -78,6 +78,42 @@ def cap_tokens(running: DataFrame, max_tokens: int | None) -> DataFrame:
     return running.where(F.col("start") < max_tokens)
 
 
+def lengths_up_to_cap(
+    corpus: DataFrame, max_tokens: int, *, size: str = "n_chars", order: str = "doc_id", slack: float = 1.1,
+) -> tuple[DataFrame, int]:
+    """Word counts of a beginning of the corpus that reaches the token cap, and how many texts were read for it.
+
+    ``size`` is a column with the characters of each text, which bounds its words:
+    they need a blank between them. Texts that this bound proves to begin before the
+    cap are counted first; then the words a character gave so far say how far to
+    go on, ``slack`` further, until the cap is reached. Only sizes of the
+    whole table are read, and texts beyond the last step never.
+    """
+    sizes = materialise(prefix_sums(
+        corpus.select(order, F.coalesce(F.col(size), F.lit(0)).alias("__size")), order, {"__before": "__size"}))
+    parts, tokens, chars, read, last = [], 0, 0, 0, None
+    per_token = 2.0  # a word and the blank behind it
+    while True:
+        reach = chars + max(int((max_tokens - tokens) * per_token), 1)
+        rest = sizes if last is None else sizes.where(F.col(order) > last)
+        # the document that crosses the reach is the last of the step
+        step = rest.where(F.col("__before") < reach).agg(F.max(order), F.sum("__size")).first()
+        if step[0] is None:
+            break
+        texts = corpus.where(F.col(order) <= step[0])
+        part = materialise(word_lengths(texts if last is None else texts.where(F.col(order) > last), order))
+        rows, found = part.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+        parts.append(part)
+        tokens, chars, read, last = tokens + found, chars + step[1], read + rows, step[0]
+        if tokens >= max_tokens:
+            break
+        per_token = slack * chars / max(tokens, 1)
+    whole = parts[0] if parts else word_lengths(corpus.limit(0), order)
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole, read
+
+
 def assign_shards(
     lengths: DataFrame,
     tokens_per_shard: int,
@@ -129,6 +165,39 @@ def skipped_documents(corpus: DataFrame) -> DataFrame:
     )
 
 
+def observe_corpus(corpus: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, Observation]:
+    """Token rows of a corpus, and totals that the action which reads them fills in on the way.
+
+    The observation gives rows, null_text, empty_text, documents and tokens of what was
+    read; writing the rows costs no further pass for its report.
+    """
+    found = Observation()
+    tokens = W.word_hash_tokens(F.col("text")) if docs is None else F.col("tokens")
+    rows = (corpus if docs is None else docs).select("doc_id", tokens.alias("tokens"))
+    size = F.coalesce(F.size("tokens"), F.lit(0))
+    observed = rows.observe(
+        found, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("tokens").isNull()).alias("null_text"),
+        F.count_if(F.size("tokens") == 0).alias("empty_text"), F.count_if(F.size("tokens") > 0).alias("documents"),
+        F.coalesce(F.sum(F.when(F.col("tokens").isNotNull(), size)).cast("bigint"), F.lit(0)).alias("tokens"))
+    return observed.where(F.size("tokens") > 0), found
+
+
+def violations(corpus: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:
+    """``(check, rows)``: rows of a corpus (order, text) and its token arrays (order, tokens) that break a rule.
+
+    What :func:`check_order_key` and :func:`check_ids` refuse, as a report.
+    """
+    keys = corpus.groupBy(order).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum(F.when(F.col(order).isNull(), F.col("n"))), F.lit(0)).alias("null_key"),
+        F.coalesce(F.sum(F.when(F.col(order).isNotNull() & (F.col("n") > 1), F.col("n"))), F.lit(0)).alias("repeated_key"))
+    texts = corpus.agg(F.count_if(F.col("text").isNull()).alias("null_text"))
+    outside = F.exists("tokens", lambda t: t.isNull() | (t < 0) | (t.cast("bigint") >= F.lit(2**31)))
+    ids = docs.agg(F.count_if(outside).alias("id_outside_range"), F.count_if(F.size("tokens") == 0).alias("no_tokens"))
+    report = [t.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("bigint").alias("rows")) for c in t.columns])))
+              for t in (keys, texts, ids)]
+    return report[0].unionByName(report[1]).unionByName(report[2])
+
+
 def progress(lengths: DataFrame, every: int = 1_000, order: str = "doc_id", width: int = BUCKET_WIDTH) -> DataFrame:
     """Running totals at every ``every``-th sample (documents and tokens up to and including it)."""
     filled = lengths.withColumn("__one", (F.col("len") > 0).cast("bigint"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import int_div
+from ..functions.structure import positions_of, runs_between
 from ..session import materialise
 
 SEQUENCE_KEY = ("epoch", "shard_idx", "rank", "bin")
@@ -137,3 +138,68 @@ def mask_blocks(
         .where(F.col("cells") > 0).join(size, key)
         .withColumn("full", F.col("cells") == edge("q_block") * edge("k_block")).drop("__n")
     )
+
+
+def mask_blocks_of(
+    packed: DataFrame, *, marker_id: int, pad_id: int | None, block: int = 128, use_markers: bool = True,
+    key: Sequence[str] = SEQUENCE_KEY, tokens: str = "tokens",
+) -> DataFrame:
+    """:func:`mask_blocks` from the runs of each sequence, in its row.
+
+    A document meets a block in a stretch of positions that its markers cut into
+    runs. Cells of a diagonal tile add up over these runs; a later block sees an
+    earlier one of the same document through the earlier one's markers, and through
+    a run that spans both. Rows leave only as partial sums of tiles.
+    """
+    key, t = list(key), F.col(tokens)
+    pads, marks = positions_of(t, pad_id), positions_of(t, marker_id if use_markers else None)
+    docs = F.filter(runs_between(F.lit(0), F.transform(pads, lambda p: p + 1), F.size(t)), lambda d: d["len"] > 0)
+    rows = packed.select(*key, F.size(t).alias("__n"), marks.alias("__mark"), docs.alias("__doc"),
+                         (pads if use_markers else F.array().cast("array<int>")).alias("__pad"))
+    number = lambda position: F.floor(position / block).cast("int")
+    inside = lambda positions, low, high: F.filter(positions, lambda p: (p >= low) & (p < high))
+
+    def stretch(d, b):
+        low, high = F.greatest(d["start"], b * block), F.least(d["start"] + d["len"], (b + 1) * block)
+        return F.struct(b.alias("b"), low.alias("low"), high.alias("high"), inside(F.col("__mark"), low, high).alias("marks"),
+                        F.array_contains("__pad", high - 1).cast("int").alias("pad"))
+
+    def diagonal(s):
+        # the j-th run sees its own part so far and j markers; a pad, last of its run, asks nothing
+        runs = runs_between(s["low"], F.transform(s["marks"], lambda m: m + 1), s["high"])
+        cells = F.transform(runs, lambda r, j: F.struct((r["len"] - F.when(r["start"] + r["len"] == s["high"], s["pad"]).otherwise(0)).alias("q"), j.alias("j")))
+        return F.aggregate(cells, F.lit(0).cast("bigint"), lambda a, c: a + (c["q"] * (c["q"] + 1) / 2).cast("bigint") + c["q"] * c["j"])
+
+    def pieces(d):
+        blocks = F.sequence(number(d["start"]), number(d["start"] + d["len"] - 1))
+        return F.transform(F.transform(blocks, lambda b: stretch(d, b)), lambda s: F.struct(
+            s["b"].alias("b"), (s["high"] - s["low"] - s["pad"]).cast("bigint").alias("q"),
+            (F.size(s["marks"]) if use_markers else s["high"] - s["low"]).cast("bigint").alias("k"), diagonal(s).alias("own")))
+
+    def tiles(ps):
+        return F.flatten(F.transform(ps, lambda q: F.transform(F.filter(ps, lambda k: k["b"] <= q["b"]), lambda k: F.struct(
+            q["b"].cast("bigint").alias("q_block"), k["b"].cast("bigint").alias("k_block"),
+            F.when(k["b"] == q["b"], q["own"]).otherwise(q["q"] * k["k"]).alias("cells")))))
+
+    found = F.flatten(F.transform(F.transform("__doc", pieces), tiles))
+    if use_markers:
+        def spans(d):
+            runs = runs_between(d["start"], F.transform(inside(F.col("__mark"), d["start"], d["start"] + d["len"]), lambda m: m + 1),
+                                d["start"] + d["len"])
+            return F.filter(runs, lambda r: number(r["start"]) < number(r["start"] + r["len"] - 1))
+
+        def across(r):
+            end = r["start"] + r["len"]
+            size = lambda b: F.least(end, (b + 1) * block) - F.greatest(r["start"], b * block)
+            asks = lambda b: size(b) - F.when((b == number(end - 1)) & F.array_contains("__pad", end - 1), 1).otherwise(0)
+            later = F.sequence(number(r["start"]) + 1, number(end - 1))
+            return F.flatten(F.transform(later, lambda q: F.transform(F.sequence(number(r["start"]), q - 1), lambda k: F.struct(
+                q.cast("bigint").alias("q_block"), k.cast("bigint").alias("k_block"), (asks(q) * size(k)).cast("bigint").alias("cells")))))
+
+        found = F.concat(found, F.flatten(F.transform(F.flatten(F.transform("__doc", spans)), across)))
+    edge = lambda b: F.least(F.lit(block), F.col("__n") - F.col(b) * block)
+    return (
+        rows.select(*key, "__n", F.inline(found)).groupBy(*key, "q_block", "k_block")
+        .agg(F.sum("cells").alias("cells"), F.max("__n").alias("__n")).where(F.col("cells") > 0)
+        .withColumn("full", F.col("cells") == edge("q_block") * edge("k_block")).drop("__n")
+    )

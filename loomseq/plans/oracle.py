@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions import words as W
 from .fixtures import SUBJECTS
-from .queries import MAX_SAMPLES, MAX_TOKENS, METADATA, SETTINGS
+from .queries import MAX_SAMPLES, MAX_TOKENS, METADATA, SETTINGS, WINDOW
 
 T, L, S = SETTINGS.tokens_per_shard, SETTINGS.sequence_length, SETTINGS.stride
 WORLD, EPOCHS, SEED = SETTINGS.world_size, SETTINGS.epochs, SETTINGS.base_seed
@@ -184,10 +184,12 @@ def _folded(ctes: str, source: str, *names: str, extra: str = "") -> str:
     return _with(ctes, f"SELECT epoch, shard_idx, rank, bin, {cols} FROM {source} {extra} GROUP BY ALL")
 
 
-def _tiles(use_markers: bool) -> str:
-    admitted = "q.pos >= k.pos AND q.mask_doc_id = k.mask_doc_id"
-    if use_markers:
-        admitted += " AND (q.marker_group = k.marker_group OR k.is_marker = 1) AND q.is_pad = 0"
+_CAUSAL = "q.pos >= k.pos AND q.mask_doc_id = k.mask_doc_id"
+_MARKED = _CAUSAL + " AND (q.marker_group = k.marker_group OR k.is_marker = 1) AND q.is_pad = 0"
+_NEAR = _CAUSAL + f" AND (q.pos - k.pos < {WINDOW} OR k.is_marker = 1) AND q.is_pad = 0"
+
+
+def _tiles(admitted: str) -> str:
     return _with(_GROUPS, f"""
       SELECT epoch, shard_idx, rank, bin, q_block, k_block, cells,
         cells = least(128, n - q_block * 128) * least(128, n - k_block * 128) AS "full"
@@ -333,8 +335,44 @@ def statements() -> dict[str, str]:
               AND q.bin = k.bin AND q.mask_doc_id = k.mask_doc_id
             WHERE q.pos >= k.pos AND (q.marker_group = k.marker_group OR k.is_marker = 1) AND q.is_pad = 0
             GROUP BY ALL) GROUP BY ALL"""),
-        "mask_block_occupancy": _tiles(True),
-        "mask_block_occupancy_causal": _tiles(False),
+        "mask_block_occupancy": _tiles(_MARKED),
+        "mask_block_occupancy_causal": _tiles(_CAUSAL),
+        "mask_tiles": _tiles(_NEAR),
+        "mask_tile_skips": _with(_GROUPS + """,
+          zones AS (
+            SELECT epoch, shard_idx, rank, bin, pos // 128 AS b, min(pos) AS p0, max(pos) AS p1, min(mask_doc_id) AS d0,
+              max(mask_doc_id) AS d1, max(is_marker) AS m1, min(is_marker) AS m0, min(is_pad) AS z0, max(is_pad) AS z1
+            FROM grouped GROUP BY ALL)""", f"""
+          SELECT epoch, shard_idx, rank, bin, count(*) AS n_tiles, count(*) FILTER (NOT may) AS skipped,
+            count(*) FILTER (must) AS filled, count(*) FILTER (may AND NOT must) AS tested
+          FROM (
+            SELECT q.epoch, q.shard_idx, q.rank, q.bin,
+              q.p1 >= k.p0 AND q.d0 <= k.d1 AND k.d0 <= q.d1 AND (q.p0 - k.p1 < {WINDOW} OR k.m1 = 1) AND q.z0 = 0 AS may,
+              q.p0 >= k.p1 AND q.d0 = q.d1 AND k.d0 = k.d1 AND q.d0 = k.d0 AND (q.p1 - k.p0 < {WINDOW} OR k.m0 = 1) AND q.z1 = 0 AS must
+            FROM zones q JOIN zones k ON q.epoch = k.epoch AND q.shard_idx = k.shard_idx AND q.rank = k.rank AND q.bin = k.bin)
+          GROUP BY ALL"""),
+        "prefix_view": _with(_GROUPS, f"""
+          SELECT {keys}, any_value(n) AS positions, count(k_pos) AS edges, coalesce(sum(k_pos), 0)::BIGINT AS key_sum FROM (
+            SELECT q.epoch, q.shard_idx, q.rank, q.bin, k.pos AS k_pos FROM grouped q JOIN grouped k
+              ON q.epoch = k.epoch AND q.shard_idx = k.shard_idx AND q.rank = k.rank AND q.bin = k.bin
+              AND q.mask_doc_id = k.mask_doc_id
+            WHERE q.pos < 256 AND k.pos < 256 AND {_MARKED})
+          JOIN (SELECT {keys}, least(count(*), 256) AS n FROM grouped GROUP BY ALL) USING ({keys}) GROUP BY ALL"""),
+        "observed_totals": _with(_DOC_TOKENS, f"""
+          SELECT count(*) AS rows, count(*) FILTER (text IS NULL) AS null_text, count(*) FILTER (len({_WORDS}) = 0) AS empty_text,
+            count(*) FILTER (len({_WORDS}) > 0) AS documents, (SELECT sum(n) FROM lens)::BIGINT AS tokens FROM documents"""),
+        "violations": f"""
+          WITH twice AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0),
+          keys AS (SELECT doc_id, count(*) AS n FROM twice GROUP BY doc_id)
+          SELECT 'null_key' AS check, coalesce(sum(n) FILTER (doc_id IS NULL), 0)::BIGINT AS rows FROM keys
+          UNION ALL SELECT 'repeated_key', coalesce(sum(n) FILTER (doc_id IS NOT NULL AND n > 1), 0)::BIGINT FROM keys
+          UNION ALL SELECT 'null_text', count(*) FILTER (text IS NULL) FROM twice
+          UNION ALL SELECT 'id_outside_range', 0
+          UNION ALL SELECT 'no_tokens', count(*) FILTER (len({_WORDS}) = 0) FROM twice""",
+        "corpus_split": "SELECT doc_id, length(text) AS text_length FROM documents WHERE lang = 'de'",
+        "logit_loss": _with(_LOGP, """
+          SELECT label, count(*) FILTER (token = label) AS positions, round(avg(-logp) FILTER (token = label), 6) AS loss
+          FROM lp GROUP BY label"""),
         "maybe_append_marker": _with(_DOC_TOKENS, f"""
           SELECT doc_id, since, len(m) + (since >= 7)::INT AS length,
             CASE WHEN since >= 7 THEN {C} ELSE m[-1] END AS last_id
@@ -443,6 +481,13 @@ def statements() -> dict[str, str]:
             'Attention Scores ' || upper(lang[1]) || lang[2:] || ' ' || upper(source[1]) || source[2:] AS title
           FROM documents""",
     }
+    prompts = out["prompt_sequences"]
+    out["choice_targets"] = f"""
+      SELECT item_id, choice_idx, pos FROM (
+        SELECT item_id, choice_idx, unnest(range(len(l) - 1)) AS pos, unnest(l[2:]) AS following
+        FROM (SELECT item_id, choice_idx, string_split(labels, ',') AS l FROM ({prompts}))) WHERE following = '1'"""
+    out["encode_docs_skewed"] = out["encode_docs"]
+    out["token_cap_early"] = out["token_cap"]
     out["vocab_argmax_rows"] = out["vocab_argmax"]
     out["metric_table"] = out["metric_log"]
     out["stream_tokenize"] = out["tokenize_docs"]

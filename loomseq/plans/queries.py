@@ -17,9 +17,11 @@ from ..functions import structure as A
 from ..functions import vectors as V
 from ..functions import words as W
 from ..operators import evaluation as E
+from ..operators import mask_tiles as T
 from ..operators import metrics as X
 from ..operators import packing as P
 from ..operators import scores as C
+from ..operators import pages as G
 from ..operators import sharding as S
 from ..operators import structure as L
 from ..operators import vocabulary as Y
@@ -167,12 +169,38 @@ def progress(spark, sf):
 
 
 def doc_slices(spark, sf):
-    """Documents cut back out of flat shard arrays."""
+    """Documents cut back out of the pages of their shards."""
     index = _index(spark, sf)
-    rows = S.shard_rows(index, _tokens(spark, sf))
-    flat = rows.groupBy("shard_idx").agg(F.array_sort(F.collect_list(F.struct("doc_ix", "tokens"))).alias("d")).select(
-        "shard_idx", F.flatten(F.col("d.tokens")).alias("tokens"))
-    return S.slice_documents(flat, index).select("shard_idx", "doc_ix", _text("tokens"))
+    rows = _tokens(spark, sf).join(index.select("doc_id", "shard_idx", "start"), "doc_id")
+    return G.slice_pages(G.page_shards(rows, 4_096), index, 4_096).select("shard_idx", "doc_ix", _text("tokens"))
+
+
+def token_cap_early(spark, sf):
+    """The same documents as ``token_cap``; texts behind the cap are not read."""
+    lengths, _ = S.lengths_up_to_cap(_documents(spark, sf), MAX_TOKENS)
+    return S.cap_tokens(materialise(S.running_lengths(lengths)), MAX_TOKENS).select("doc_id", "len", "start", "rn")
+
+
+def observed_totals(spark, sf):
+    """Totals of a token table, taken while it was written."""
+    rows, found = S.observe_corpus(_corpus(spark, sf))
+    rows.write.parquet(new_folder(spark, "tokens"))
+    totals = found.get
+    return spark.createDataFrame([tuple(totals.values())], ", ".join(f"{name} bigint" for name in totals))
+
+
+def violations(spark, sf):
+    """Rows of the corpus, taken twice over, that break a rule of keys, texts or ids."""
+    corpus = _corpus(spark, sf)
+    twice = corpus.unionByName(corpus.where(F.col("doc_id") % 3 == 0))
+    return S.violations(twice, S.tokenize(twice))
+
+
+def corpus_split(spark, sf):
+    """One split of a corpus that is partitioned by language; the other folders are not read."""
+    path = new_folder(spark, "corpus")
+    _documents(spark, sf).select("doc_id", "text", F.col("lang").alias("split")).write.partitionBy("split").parquet(path)
+    return read_corpus(spark, path, split="de").select("doc_id", F.length("text").alias("text_length"))
 
 
 # --- packing -----------------------------------------------------------------------------------
@@ -265,11 +293,45 @@ def attention_edges(spark, sf):
 
 
 def mask_block_occupancy(spark, sf):
-    return L.mask_blocks(L.with_reach(_grouped(spark, sf)), block=128)
+    return L.mask_blocks_of(_packed(spark, sf), marker_id=SETTINGS.marker_id, pad_id=SETTINGS.pad_id, block=128)
 
 
 def mask_block_occupancy_causal(spark, sf):
-    return L.mask_blocks(L.with_reach(_grouped(spark, sf)), block=128, use_markers=False)
+    return L.mask_blocks_of(
+        _packed(spark, sf), marker_id=SETTINGS.marker_id, pad_id=SETTINGS.pad_id, block=128, use_markers=False)
+
+
+#: reach of the sliding window of the mask queries
+WINDOW = 200
+
+
+def window_mask(q, k):
+    """Causal within the document: the last ``WINDOW`` positions, and all markers; pads ask nothing."""
+    near = (q["pos"] - k["pos"] < WINDOW) | k["is_marker"]
+    return (q["pos"] >= k["pos"]) & (q["doc"] == k["doc"]) & near & ~q["is_pad"]
+
+
+def _window_tiles(spark, sf) -> DataFrame:
+    return T.with_tiles(_packed(spark, sf), window_mask, marker_id=SETTINGS.marker_id, pad_id=SETTINGS.pad_id)
+
+
+def mask_tiles(spark, sf):
+    """Tiles of a mask that only its predicate describes."""
+    return T.masked_tiles(_window_tiles(spark, sf))
+
+
+def mask_tile_skips(spark, sf):
+    """How many tiles of that mask the zone map skipped or filled without looking at a cell."""
+    return _window_tiles(spark, sf).drop("tiles")
+
+
+def prefix_view(spark, sf):
+    """Admitted keys among the first 256 positions of every sequence, the part a picture shows."""
+    head = _packed(spark, sf).withColumn("tokens", F.slice("tokens", 1, 256))
+    keys = A.with_key_lists(head, marker_id=SETTINGS.marker_id, pad_id=SETTINGS.pad_id)
+    return keys.select(
+        *KEY, F.size("tokens").alias("positions"), A.array_sum(F.transform("keys", lambda k: F.size(k))).alias("edges"),
+        A.array_sum(F.transform("keys", lambda k: A.array_sum(k))).alias("key_sum"))
 
 
 def sequence_summary(spark, sf):
@@ -296,15 +358,26 @@ def maybe_append_marker(spark, sf):
     return done.select("doc_id", "since", F.size("closed").alias("length"), F.element_at("closed", -1).alias("last_id"))
 
 
-def prompt_sequences(spark, sf):
+def _prompts(spark, sf) -> DataFrame:
     """bos + prompt + choice with labels and markers, for every choice of every valid item."""
     items = E.expand_choices(E.valid_items(fixtures.multiple_choice(_documents(spark, sf))))
     coded = items.select(
         "item_id", "choice_idx", W.word_hash_tokens(E.format_prompt(F.col("question"), F.col("ch"))).alias("p"),
         W.word_hash_tokens(F.col("completion")).alias("c"))
     tokens, labels = M.prompt_sequence(F.col("p"), F.col("c"), stride=7, marker_id=W.MARKER_ID, bos_id=W.BOS_ID)
-    return coded.select("item_id", "choice_idx", tokens.alias("tokens"), labels.alias("labels")).select(
-        "item_id", "choice_idx", _text("tokens"), _text("labels"))
+    return coded.select("item_id", "choice_idx", tokens.alias("tokens"), labels.alias("labels"))
+
+
+def prompt_sequences(spark, sf):
+    return _prompts(spark, sf).select("item_id", "choice_idx", _text("tokens"), _text("labels"))
+
+
+def choice_targets(spark, sf):
+    """Positions of every prompt sequence whose next token belongs to the choice."""
+    # written, or the hashes of a prompt would be made again for every position of its labels
+    long = materialise(_prompts(spark, sf)).select("item_id", "choice_idx", F.posexplode("labels").alias("pos", "label"))
+    found = X.choice_targets(long, key=["item_id", "choice_idx"])
+    return found.select("item_id", "choice_idx", F.col("pos").cast("bigint").alias("pos"))
 
 
 def repeated_pairs(spark, sf):
@@ -352,6 +425,14 @@ def encode_docs(spark, sf):
         F.count_if(F.col("id") == -1).alias("unknown"))
 
 
+def encode_docs_skewed(spark, sf):
+    """The same with the vocabulary joined as one too large to broadcast: frequent words apart from the rest."""
+    coded = Y.encode(Y.explode_words(_corpus(spark, sf)), _vocabulary(spark, sf), unknown_id=-1, max_rows=0)
+    return coded.groupBy("doc_id").agg(
+        F.count("token").alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("id_sum"),
+        F.count_if(F.col("id") == -1).alias("unknown"))
+
+
 def decode_docs(spark, sf):
     """Benchmark passages encoded, gathered and decoded again."""
     vocab = _vocabulary(spark, sf)
@@ -510,6 +591,14 @@ def log_softmax_rows(spark, sf):
     return got.select("vec_id", "token", F.round("logp", 6).alias("target_logp"))
 
 
+def logit_loss(spark, sf):
+    """Loss per label straight from long logits."""
+    logits = spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        "vec_id", "label", F.posexplode("embedding").alias("token", "logit")).withColumn("logit", F.col("logit").cast("double"))
+    loss = C.logit_loss(logits.withColumn("target", F.col("label")), by=["label"], key=["vec_id"])
+    return loss.select("label", "positions", F.round("loss", 6).alias("loss"))
+
+
 def vocab_argmax(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     return v.select("vec_id", V.argmax(F.col("embedding")).alias("pred"))
@@ -707,8 +796,9 @@ ALL: tuple[Query, ...] = (
     shard_assign, shard_index, dataset_metadata, run_totals, skipped_documents, progress, doc_slices,
     epoch_shard_order, doc_shuffle_rank, pack_bins, packed_sequences, rank_sequences, packing_loss, packing_rest, pad_counts,
     position_ids, mask_groups, since_last_marker, attention_reach, attention_reach_causal, label_mask,
-    structure_arrays, distinct_segments, attention_edges, mask_block_occupancy,
-    mask_block_occupancy_causal,
+    structure_arrays, distinct_segments, attention_edges, prefix_view, mask_block_occupancy,
+    mask_block_occupancy_causal, mask_tiles, mask_tile_skips, token_cap_early, observed_totals, violations, corpus_split,
+    encode_docs_skewed, logit_loss, choice_targets,
     maybe_append_marker, prompt_sequences, repeated_pairs, special_filter, ordinary_filter,
     vocabulary, special_ids, encode_docs, decode_docs,
     mmlu_prompts, mmlu_choices, mmlu_answers, first_items, subject_items, choice_scores, best_choice, subject_accuracy,

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomseq.functions import structure as A
+from loomseq.operators import mask_tiles as T
 from loomseq.operators import structure as L
 
 C, P, B = 100, 101, 102
@@ -114,6 +115,8 @@ def test_mask_blocks(table, sequences, use_markers, block):
     g = L.with_reach(L.with_groups(L.to_long(table, key), marker_id=C, pad_id=P, key=key), key)
     got = {(r.seq_id, r.q_block, r.k_block): (r.cells, r.full)
            for r in L.mask_blocks(g, block=block, use_markers=use_markers, key=key).collect()}
+    in_row = L.mask_blocks_of(table, marker_id=C, pad_id=P, block=block, use_markers=use_markers, key=key)
+    assert got == {(r.seq_id, r.q_block, r.k_block): (r.cells, r.full) for r in in_row.collect()}
     want = {}
     for i, s in enumerate(sequences):
         _, mask, causal = plain(s)
@@ -127,3 +130,60 @@ def test_mask_blocks(table, sequences, use_markers, block):
                     want[t] = want.get(t, 0) + 1
         want.update({t: (v, v == area[t]) for t, v in want.items() if t[0] == i})
     assert got == want
+
+
+@pytest.mark.parametrize("use_markers", [True, False])
+def test_mask_blocks_of_long_runs(spark, use_markers):
+    """Runs and documents over many blocks, with and without pads."""
+    rng = random.Random(8)
+    rows = [[P if rng.random() < 0.02 else C if rng.random() < 0.03 else 1 for _ in range(n)] for n in (1, 31, 32, 33, 200, 200, 200)] + [[1] * 150]
+    df = spark.createDataFrame(list(enumerate(rows)), "seq_id bigint, tokens array<int>")
+    for pad in (P, None):
+        want = {}
+        for i, s in enumerate(rows):
+            _, mask, causal = plain(s, pad)
+            for q in range(len(s)):
+                for k in range(len(s)):
+                    want[i, q // 32, k // 32] = want.get((i, q // 32, k // 32), 0) + (mask if use_markers else causal)[q][k]
+        got = L.mask_blocks_of(df, marker_id=C, pad_id=pad, block=32, use_markers=use_markers, key=["seq_id"]).collect()
+        assert {(r.seq_id, r.q_block, r.k_block): r.cells for r in got} == {t: v for t, v in want.items() if v}
+
+
+MASKS = {
+    "marker": A.marker_mask,
+    "causal": A.causal_mask,
+    "window": lambda q, k: (q["pos"] - k["pos"] < 9) & (q["pos"] + 3 > k["pos"] - 1) & (q["doc"] == k["doc"]),
+    "far": lambda q, k: ~(q["pos"] <= k["pos"] + 12) | (k["token"] != 1) & k["is_marker"],
+    "all": lambda q, k: (q["pos"] >= 0) | q["is_pad"],
+    "none": lambda q, k: (q["group"] < 0) & (k["pos"] > 2),
+    "constant": lambda q, k: (1 - k["pos"] <= 1) & (q["doc"] >= k["doc"]),
+}
+
+
+@pytest.mark.parametrize("name", list(MASKS))
+@pytest.mark.parametrize("pad", [P, None])
+def test_tiles_of_any_mask(table, sequences, name, pad):
+    """Tiles equal those counted from the same predicate asked pair by pair as columns."""
+    mask = MASKS[name]
+    cells = A.mask_cells(table, marker_id=C, pad_id=pad)
+    pairs = {r.seq_id: r.m for r in cells.select("seq_id", A.allowed_keys(F.col("cells"), mask, causal=False).alias("m")).collect()}
+    for row in T.with_tiles(table, mask, marker_id=C, pad_id=pad, block=4, key=["seq_id"]).collect():
+        n, want = len(sequences[row.seq_id]), {}
+        for q, keys in enumerate(pairs[row.seq_id]):
+            for k in keys:
+                want[q // 4, k // 4] = want.get((q // 4, k // 4), 0) + 1
+        size = lambda b: min(4, n - 4 * b)
+        assert {(t.q_block, t.k_block): (t.cells, t.full) for t in row.tiles} == {
+            (q, k): (v, v == size(q) * size(k)) for (q, k), v in want.items()}
+        assert row.skipped + row.filled + row.tested == row.n_tiles == (-(-n // 4)) ** 2
+
+
+def test_zone_map_skips_tiles(spark):
+    """A causal window over documents asks few tiles cell by cell."""
+    tokens = ([1] * 63 + [P]) * 16
+    df = spark.createDataFrame([(0, tokens), (1, []), (2, None)], "seq_id bigint, tokens array<int>")
+    rows = {r.seq_id: r for r in T.with_tiles(df, A.causal_mask, marker_id=C, pad_id=P, block=32, key=["seq_id"]).collect()}
+    assert (rows[0].n_tiles, rows[0].filled, rows[0].tested) == (1024, 16, 32) and rows[0].skipped == 976
+    assert rows[1].tiles == rows[2].tiles == [] and rows[1].n_tiles == 0
+    with pytest.raises(TypeError, match="with & |"):
+        T.sequence_tiles(__import__("numpy").arange(9), lambda q, k: q["pos"] > 1 and k["pos"] > 1, 4, C, P)
