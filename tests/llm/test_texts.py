@@ -100,8 +100,8 @@ def test_lines_with_equal_words_and_short_lines_with_few_edits(spark):
 def test_recall_of_line_pairs_by_length(spark):
     rng = np.random.default_rng(7)
     word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(2, 10))))
-    # (words, changed words): share of the pairs of edit similarity 0.8 and more that must be found; 3 of 8 blocks, no pair dropped unseen
-    least = {(10, 1): 0.38, (20, 2): 0.35, (20, 4): 0.08, (50, 5): 0.38, (50, 10): 0.08, (100, 3): 0.8}
+    # (words, changed words): share of the pairs of edit similarity 0.8 and more that must be found
+    least = {(3, 1): 0.97, (4, 1): 0.97, (6, 1): 0.97, (10, 1): 0.97, (20, 2): 0.97, (20, 4): 0.95, (50, 5): 0.95, (50, 10): 0.9, (100, 3): 0.97}
     rows, kind = [], {}
     for case in least:
         made = 0
@@ -124,19 +124,41 @@ def test_recall_of_line_pairs_by_length(spark):
     assert all(found[case] >= least[case] for case in least), found
 
 
-def test_votes_of_lines_and_lines_that_differ_in_short_words(spark):
-    rng = np.random.default_rng(8)
-    lines = [f"page {a} of {b}" for a, b in rng.integers(100, 999, (300, 2))] + ["a b c", "the " * 300 + "house " * 201, "the " * 300 + "house " * 200]
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+def test_codes_of_the_longest_words(spark):
+    lines = ["the house of the lions", "a b", "one", "x" * 300 + " " + "y" * 200 + " z", "the " * 700 + "house"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     nodes = line_dedup.occurrences(docs).orderBy("doc_id").collect()
-    assert len({r.sim for r in nodes[:300]}) > 30  # short words vote
     hashes = {w: h for w, h in spark.createDataFrame([(w,) for w in {w for x in lines for w in x.split()}], "w string").select("w", F.xxhash64("w")).collect()}
-    place = lambda b: 18 * (b // 9 // 2) + 9 * (b // 9 % 2) + b % 9
-    for r in (*nodes[:5], *nodes[300:]):
-        ws = lines[r.doc_id].split()
-        weight = [3 if len(w) >= 4 else 1 for w in ws]
-        votes = [sum(v for w, v in zip(ws, weight) if hashes[w] >> b & 1) for b in range(63)]
-        assert r.sim == sum(1 << place(b) for b in range(63) if 2 * votes[b] > sum(weight))
+    for r in nodes:
+        want = sorted((127 - min(len(w), 127)) << 56 | hashes[w] & (1 << 56) - 1 for w in set(lines[r.doc_id].split()))[:8]
+        assert [r[f"t{k}"] for k in range(8) if r[f"t{k}"] is not None] == want
+    sizes = {r.node: r["count"] for r in line_dedup._buckets(line_dedup.distinct_lines(line_dedup.occurrences(docs))).groupBy("node").count().collect()}
+    assert [sizes.get(r.node, 0) for r in nodes] == [4, 1, 0, 4, 1]
+
+
+def test_line_links_equal_all_pairs(spark):
+    """Groups of made lines, in one hot bucket and many small ones, equal those of all pairs."""
+    rng = np.random.default_rng(4)
+    stems = [f"certification{k} documentation{k}" for k in range(3)]
+    lines = sorted({f"{stems[k]} " + " ".join(f"w{j}" for j in rng.integers(0, 12, n)) for k, n in zip(rng.integers(0, 3, 260), rng.integers(2, 9, 260))})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    parts, groups = line_dedup.line_groups(docs)
+    number = {r.node: r.doc_id for r in parts.select("doc_id", "node").collect()}
+    part = {number[r.node]: number[r.component] for r in groups.collect()}
+    root = list(range(len(lines)))
+    for a, x in enumerate(lines):
+        for b in range(a):
+            if abs(len(x) - len(lines[b])) <= 0.2 * max(len(x), len(lines[b])) and root[a] != root[b] and similar(x, lines[b]) >= 0.8:
+                root = [root[a] if r == root[b] else r for r in root]
+    pairs = lambda of: {(a, b) for a in range(len(lines)) for b in range(a) if of(a) == of(b)}
+    assert pairs(lambda i: part.get(i, i)) == pairs(lambda i: root[i])
+
+
+def test_many_lines_of_one_document(spark):
+    rng = np.random.default_rng(6)
+    lines = ["".join(map(chr, rng.integers(97, 123, 9))) + " and " + "".join(map(chr, rng.integers(97, 123, 12))) for _ in range(5_000)]
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, "\n".join(lines * 2))], "doc_id long, text string")).first()
+    assert got.n_lines == 10_000 and got.n_removed == 5_000 and got.text == "\n".join(lines)
 
 
 def test_lines_of_the_table_against_normalised_equality_and_edit_similarity(spark, sf_dir):
