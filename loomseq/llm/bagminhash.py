@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, spanning, without, written
+from .common import components, spanning, written
 
 SLICE_BYTES = 6_000_000
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -264,15 +264,8 @@ def _compare_tile(settings: BagSettings):
     return run
 
 
-def near_duplicates(docs: DataFrame, settings: BagSettings = BagSettings()) -> DataFrame:
-    """Classes of ``docs`` (doc_id, text) linked by weighted Jaccard similarity at or over the threshold.
-
-    One row per input row: doc_id, print (hash of the text), n_shingles, component_id (smallest doc_id of
-    the class), kept (doc_id = component_id). Null, empty and wordless texts are
-    classes of their own. A row with a null doc_id takes the class of its likes; it is
-    kept only if none of them has an id, or if it has no words. Rows that repeat a
-    doc_id are documents like others. Other columns are ignored; an empty table gives no row.
-    """
+def near_classes(docs: DataFrame, settings: BagSettings = BagSettings()) -> DataFrame:
+    """Rows (doc_id, print, n_shingles, class, component_id): ``class`` names the class of a text with words, ``component_id`` is its smallest doc_id."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "ref", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("print", F.xxhash64("text"))
     sketch, schema = _sketch(settings)
@@ -315,13 +308,38 @@ def near_duplicates(docs: DataFrame, settings: BagSettings = BagSettings()) -> D
     named = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     classes = named.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = written(classes.join(lows, "component").select("node", "component_id"), "classes")
+    classes = written(classes.join(lows, "component").select("node", F.col("component").alias("class"), "component_id"), "classes")
     found = sketched.join(classes, "node", "left")
-    return found.select(
+    return found.select("doc_id", "print", "n_shingles", "class", "component_id")
+
+
+def near_duplicates(docs: DataFrame, settings: BagSettings = BagSettings()) -> DataFrame:
+    """Classes of ``docs`` (doc_id, text) linked by weighted Jaccard similarity at or over the threshold.
+
+    One row per input row: doc_id, print (hash of the text), n_shingles, component_id (smallest doc_id of
+    the class), kept (doc_id = component_id). Null, empty and wordless texts are
+    classes of their own. A row with a null doc_id takes the class of its likes; it is
+    kept only if none of them has an id, or if it has no words. Rows that repeat a
+    doc_id are documents like others. Other columns are ignored; an empty table gives no row.
+    """
+    return near_classes(docs, settings).select(
         "doc_id", "print", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, settings: BagSettings = BagSettings()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; rows with equal doc_id and text stay or go together."""
-    return without(docs, near_duplicates(docs, settings).where("NOT kept").distinct())
+    """One row of each class of ``docs``, with all its columns; texts without words all stay.
+
+    It is the row of the smallest doc_id, null after all others, then of the smallest
+    hash of the text, then one of the rows that are equal in both.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    key = [F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("print")]
+    found = near_classes(rows.drop("__row"), settings).where("class IS NOT NULL")
+    classes = found.select(F.col("doc_id").alias("of"), F.col("print").alias("of_print"), "class").distinct()
+    slim = rows.select("__row", *key)
+    named = written(slim.join(classes, slim["id"].eqNullSafe(classes["of"]) & (slim["print"] == classes["of_print"])).select(
+        "__row", "class", F.struct(F.col("id").isNull().alias("none"), "id", "print", "__row").alias("place")), "classed")
+    first = named.groupBy("class").agg(F.min("place").alias("first"))
+    gone = named.join(first, "class").where("place.__row <> first.__row").select("__row")
+    return rows.join(gone, "__row", "left_anti").drop("__row")

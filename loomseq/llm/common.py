@@ -54,6 +54,22 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
 
 
+def smallest_hashes(rows: DataFrame, column: str, count: int) -> DataFrame:
+    """Rows whose hash in ``column`` is among the ``count`` smallest distinct ones.
+
+    The hashes alone are ranked, after all but about twice as many as wanted are
+    left out by their value; what the driver gets doesn't grow with the rows or partitions.
+    """
+    hashes = rows.select(column).distinct()
+    known = hashes.count()
+    if known <= count:
+        return rows
+    near = hashes.where(F.col(column) <= F.lit(min(-(2**63) + int(2**64 * min(1.0, (2 * count + 100) / known)), 2**63 - 1)))
+    near = near if near.count() >= count else hashes
+    last = near.orderBy(column).limit(count).agg(F.max(column)).first()[0]
+    return rows.where(F.col(column) <= last)
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) whose doc_id and hash of the text aren't in ``gone`` (doc_id, print)."""
     keys = gone.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"))

@@ -130,7 +130,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     (of their ids, sorted as strings, comma-joined), contaminated (at least one hit,
     and hits are at least a twentieth of the words). Windows are ``window``
     consecutive item words; a shorter item is one window. Null and wordless texts
-    have no words and no hits; items without words, or with a null id, are none.
+    have no words and no hits; items without words are none. Words of an item with a null
+    id are hit like others, but the item isn't named or counted, as it has no id.
     Repeated rows each get their row; other columns are ignored.
     """
     documents, shared, windows = find_windows(docs, benchmark, window=window, gram=gram)

@@ -16,13 +16,15 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import smallest_hashes
+
 # Element names of the markup language.
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -39,7 +41,7 @@ _ENDS = {
 _ENDS_P = _BLOCK - {"button", "label", "legend", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption",
                     "head", "body", "html", "title", "textarea", "select", "iframe", "summary"}
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -47,74 +49,148 @@ _WORD = re.compile(r"[a-z]+")
 WIDTH = 1 << 13
 
 
-@dataclass
+#: inline elements that an end tag looks back over
+INLINE = 64
+
+
+class Path:
+    """An element with its ancestors, which it shares with its siblings."""
+
+    __slots__ = ("parent", "tag", "words", "numbers", "own", "marked")
+
+    def __init__(self, parent: Path | None, tag: str, words: tuple[str, ...]):
+        self.parent, self.tag, self.words = parent, tag, words
+        above = parent.numbers if parent else frozenset()
+        new = {_number(f"in:{tag}"), *(_number(f"word:{w}") for w in words)}
+        #: features of all ancestors; a set that doesn't grow is shared
+        self.numbers = above if new <= above else above | new
+        self.own = tag if tag in _BLOCK else parent.own if parent else ""
+        self.marked = tag in ("article", "main") or bool(parent and parent.marked)
+
+    def __iter__(self):
+        steps, at = [], self
+        while at is not None:
+            steps.append((at.tag, at.words))
+            at = at.parent
+        return reversed(steps)
+
+
 class Block:
-    text: str
-    #: (tag, words of class, id and role) of every ancestor
-    path: tuple[tuple[str, tuple[str, ...]], ...]
-    linked: int = 0
-    label: int = field(default=0, compare=False)
+    """A run of text and the elements it stands in: (tag, words of class, id and role) of every ancestor."""
+
+    __slots__ = ("text", "node", "linked", "label")
+
+    def __init__(self, text: str, path: Path | tuple | None, linked: int = 0, label: int = 0):
+        self.text, self.linked, self.label = text, linked, label
+        if isinstance(path, tuple):
+            node = None
+            for tag, words in path:
+                node = Path(node, tag, words)
+            path = node
+        self.node = path
+
+    @property
+    def path(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        return tuple(self.node) if self.node else ()
+
+
+class _Open:
+    """The open elements, with the places of every tag among them: no question walks the whole stack."""
+
+    def __init__(self):
+        self.nodes: list[Path] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def top(self) -> Path | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(Path(self.top(), tag, words))
+
+    def cut(self, place: int) -> list[Path]:
+        """Close everything from ``place`` on."""
+        closed = self.nodes[place:]
+        del self.nodes[place:]
+        for node in reversed(closed):
+            self.places[node.tag].pop()
+            if node.tag in _BLOCK:
+                self.blocks.pop()
+        return closed
+
+    def end_inline(self, tag: str) -> None:
+        """Close an inline element of the innermost block, and leave those inside it open."""
+        place = self.last((tag,))
+        if place > (self.blocks[-1] if self.blocks else -1) and len(self.nodes) - place <= INLINE:
+            for node in self.cut(place)[1:]:
+                self.push(node.tag, node.words)
 
 
 def blocks_of(html: str | None) -> list[Block]:
-    """Leaf blocks with text, in page order. White space is single spaces; raw elements have no text."""
+    """Leaf blocks with text, in page order. White space is single spaces; raw elements have no text.
+
+    One pass: a tag ends at the next ``>``, quotes considered; a ``<`` with no ``>``
+    behind it is text, a comment without end reaches to the end.
+    """
     html = html or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Open()
     parts: list[str] = []
-    linked, at = 0, 0
+    linked, at, end = 0, 0, html.rfind(">") + 1
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(stack), linked))
+                out.append(Block(text, stack.top(), linked))
             parts.clear()
         linked = 0
 
-    def pop_to(names, barrier=frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                close()
-                del stack[k:]
-                return
-            if stack[k][0] in barrier:
-                return
+    def pop_to(names, barrier=()) -> None:
+        place = stack.last(names)
+        if place > stack.last(barrier):
+            close()
+            stack.cut(place)
 
     def add(text: str) -> None:
         nonlocal linked
         if text:
             parts.append(text)
-            if any(tag == "a" for tag, _ in stack):
+            if stack.places.get("a"):
                 linked += len(text)
 
     while True:
-        m = _MARKUP.search(html, at)
+        m = _MARKUP.search(html, at, end) if at < end else None
         if m is None:
-            add(html[at:])
+            rest = html[at:]
+            open_comment = rest.find("<!--")
+            add(rest if open_comment < 0 else rest[:open_comment])
             break
         add(html[at : m.start()])
         at = m.end()
+        if at == end and m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break  # the comment goes on behind the last tag
         name = m[2] or m[5]
         if not name:
             continue
         tag, ending, rest = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ending:
             if tag in _BLOCK:
-                pop_to({tag})
+                pop_to((tag,))
             else:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k]
-                        break
-                    if stack[k][0] in _BLOCK:
-                        break
+                stack.end_inline(tag)
             continue
         if tag in _RAW:
             if not rest.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                ends = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at, end)
+                at = ends.end() if ends else len(html)
             continue
         if tag == "br":
             parts.append(" ")
@@ -122,12 +198,12 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag in _BLOCK:
             close()
             if tag in _ENDS_P:
-                pop_to({"p"}, {"button", "table"})
+                pop_to(("p",), ("button", "table"))
             if tag in _ENDS:
                 pop_to(*_ENDS[tag])
         if tag not in _VOID:
             words = tuple(w for v in _NAMES.findall(rest) for w in _WORD.findall(v.lower())) if "=" in rest else ()
-            stack.append((tag, words))
+            stack.push(tag, words)
     close()
     return out
 
@@ -142,16 +218,14 @@ class Features:
     def __init__(self):
         self._paths: dict[tuple, list[int]] = {}
 
-    def _of_path(self, path) -> list[int]:
-        found = self._paths.get(path)
+    def _of_path(self, node: Path | None) -> list[int]:
+        key = (node.numbers, node.own, node.marked) if node else (frozenset(), "", False)
+        found = self._paths.get(key)
         if found is None:
             if len(self._paths) > 50_000:
                 self._paths.clear()
-            names = {f"in:{tag}" for tag, _ in path} | {f"word:{w}" for _, words in path for w in words}
-            blocks = [tag for tag, _ in path if tag in _BLOCK]
-            names.add(f"own:{blocks[-1] if blocks else ''}")
-            names.add("bare" if not names & {"in:article", "in:main"} else "marked")
-            found = self._paths[path] = sorted({_number(n) for n in names})
+            numbers, own, marked = key
+            found = self._paths[key] = sorted({*numbers, _number(f"own:{own}"), _number("marked" if marked else "bare")})
         return found
 
     def of(self, blocks: list[Block]) -> list[list[int]]:
@@ -167,7 +241,7 @@ class Features:
                 own.append("copyright")
             if k == 0:
                 own.append("start")
-            out.append(self._of_path(b.path) + [_number(n) for n in own])
+            out.append(self._of_path(b.node) + [_number(n) for n in own])
         return out
 
 
@@ -324,7 +398,9 @@ def laid_out(texts: list[str], pages: int, seed: int = 11) -> list[list[Block]]:
 
 def fit(pages: DataFrame, *, lenders: int = 100, layouts: int = 600) -> ChainModel:
     """Train on ``layouts`` laid-out pages with the text of at most ``lenders`` rows of ``pages`` (html), those with the smallest hashes."""
-    lent = pages.where("html IS NOT NULL").select("html").orderBy(F.xxhash64("html"), "html").limit(lenders).collect()
+    some = pages.where("html IS NOT NULL").select("html", F.xxhash64("html").alias("h"))
+    some = smallest_hashes(some, "h", lenders).groupBy("h").agg(F.first("html").alias("html"))
+    lent = some.orderBy("h").select("html").collect()
     texts = [b.text for r in lent for b in blocks_of(r[0])]
     features = Features()
     return train([(features.of(blocks), [b.label for b in blocks]) for blocks in laid_out(texts, layouts)])

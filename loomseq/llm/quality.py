@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import smallest_hashes, written
 
 #: bytes of text worked on at once
 SLICE_BYTES = 6_000_000
@@ -242,7 +242,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, held_out: Column, thres
     table = written(featured(rows), "features")
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("y IN (0, 1)")
     learn = table.where("NOT held_out").join(known, "doc_id").select("doc_id", "features", "y")
-    learn = learn.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).toArrow()
+    learn = smallest_hashes(learn.withColumn("h", F.xxhash64("doc_id")), "h", sample)
+    learn = learn.orderBy("h", "doc_id", "y").limit(sample).drop("h").toArrow()
     x = learn.column("features").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     model = AdditiveModel.fitted(x, learn.column("y").to_numpy())
     parts = model.intercept, model.edges, model.tables, model.coarse, model.pairs

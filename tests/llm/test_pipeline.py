@@ -1,13 +1,18 @@
+import random
 import re
 import sys
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 
 import corpus_pipeline  # noqa: E402
 from loomseq.llm import html_extraction as X, oracle, queries  # noqa: E402
+from loomseq.llm.common import smallest_hashes  # noqa: E402
+from loomseq.llm.language_id import learn, predict  # noqa: E402
 from oracle_check import compare, connect  # noqa: E402
 from test_texts import contamination_by_hand, words  # noqa: E402
 from test_vectors_and_duplicates import bags, classes  # noqa: E402
@@ -22,7 +27,7 @@ def test_query_against_sql(spark, sf_dir, name):
 
 
 def test_names_of_queries():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.registry()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.registry()) == list(range(1, 14))
 
 
 def test_language_stage_without_labels_keeps_texts_with_letters(spark, sf_dir):
@@ -33,6 +38,31 @@ def test_language_stage_without_labels_keeps_texts_with_letters(spark, sf_dir):
     assert sorted(map(tuple, told.collect())) == [(1, "the cat", None, "s", 7), (4, "é", None, "s", 1)]
 
 
+def test_language_stage_rejects_by_score(spark, sf_dir):
+    rng = random.Random(3)
+    junk = ["".join(rng.choice("qxzjkwvy   ") for _ in range(60)) for _ in range(60)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = docs.unionByName(spark.createDataFrame([(10**6 + i, t, None, "s", 60) for i, t in enumerate(junk)], docs.schema))
+    score = {r.doc_id: r.score for r in predict(mixed, learn(mixed)).collect()}
+    left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, mixed, sf_dir).collect()}
+    assert left == {d for d, x in score.items() if x >= corpus_pipeline.LEAST_SCORE} and {r.doc_id for r in docs.collect()} <= left
+    assert any(10**6 + i not in left for i in range(60))
+
+
+def test_near_copies_leave_one_row_of_each_class(spark, sf_dir):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, c, d = (text(40) for _ in range(4))
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, a, "x", "s", 1), (None, a, "y", "s", 1), (None, a + " more", "x", "s", 2), (5, b, "x", "s", 3), (5, b, "x", "s", 3), (5, b, "z", "s", 3),
+            (None, b, "x", "s", 3), (7, c, "x", "s", 4), (3, c + " end", "x", "s", 5), (8, d, "x", "s", 6), (None, "", "x", "s", 0), (None, None, "x", "s", 0)]
+    left = [tuple(r) for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, shape).repartition(3), sf_dir).collect()]
+    assert all(r in rows for r in left)
+    ids = sorted((r[0] is None, r[0] or 0, (r[1] or "")[:3]) for r in left)
+    assert len([r for r in left if r[1] and r[1].startswith(a)]) == 1 and [r[0] for r in left if r[1] == b] == [5]
+    assert sorted(r[0] for r in left if r[0] is not None) == [3, 5, 8] and len(left) == 6 and len(ids) == 6
+
+
 def test_stages_against_plain_versions(spark, sf_dir):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language_id", "line_dedup", "near_dedup", "decontamination", "packing"]
@@ -132,3 +162,29 @@ def test_blocks():
     assert [b.text for b in X.blocks_of(page)] == ["one", "two", "a", "b", "x <y> é z"]
     assert [b.path[-1][0] for b in X.blocks_of(page)[:4]] == ["li", "li", "td", "td"]
     assert X.blocks_of('<div class="a-b c" id=d>t</div>')[0].path == (("div", ("a", "b", "c", "d")),)
+
+
+@pytest.mark.parametrize("html", [
+    "<a " * 333_000, "<a " * 333_000 + ">", "<!" * 500_000, '<a "x>" ' * 125_000, "<a '" * 250_000 + ">", "<div>x" * 100_000,
+    "<p><table>" + "<div>x" * 100_000, "<b>x" * 100_000 + "</i>" * 100_000, "<ul>" + "<li>x" * 100_000, "<!--" * 250_000,
+    "<script>" + "</script " * 110_000, ("<b>" * 50 + "<i>x") * 3_000 + "</b>" * 100_000, "&" * 1_000_000])
+def test_pages_of_a_megabyte_take_linear_time(html):
+    start = time.process_time()
+    X.Features().of(X.blocks_of(html))
+    assert time.process_time() - start < 8
+
+
+def test_odd_markup():
+    texts = lambda h: [b.text for b in X.blocks_of(h)]
+    assert texts("<p>a <b") == ["a <b"] and texts("x < y <p>z</p> 1 <!-- c <p>d") == ["x < y", "z", "1"]
+    assert texts("<p>a<!-- > --> b <!-- x > y") == ["a b"] and texts('<p title="a > b">t</p>') == ["t"] and texts("") == texts(None) == []
+    deep = X.blocks_of("<div class=one>" * 5 + "<article>in</article>" + "</div>" * 5 + "<p>out")
+    assert [len(b.path) for b in deep] == [6, 1] and deep[0].path[-1] == ("article", ())
+
+
+def test_smallest_hashes(spark):
+    df = spark.range(5000).select(F.xxhash64(F.col("id") % 3000).alias("h"), "id")
+    want = sorted({r.h for r in df.collect()})
+    for k in (0, 1, 50, 3000, 4000):
+        assert {r.h for r in smallest_hashes(df, "h", k).collect()} == set(want[:k])
+    assert smallest_hashes(df.limit(0), "h", 5).count() == 0
