@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import RULES
+from .license_scan import RARE, SLACK, TEMPLATES
 
 OP1 = """
 WITH RECURSIVE v AS (
@@ -65,29 +65,42 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_RULES = ", ".join(
-    f"({i}, '{r.label}', {str(r.base).lower()}, {r.share}, {r.text.split()}, {r.key.split()},"
-    f" {r.text.split().index(r.key.split()[0], 0 if r.text.startswith(r.key) else len(r.text[:r.text.index(r.key)].split()))})"
-    for i, r in enumerate(RULES))
+_TEMPLATES = ", ".join(
+    f"({i}, '{t.label}', {str(t.base).lower()}, {t.text.split()}, {t.key.split()}, {t.key_at})" for i, t in enumerate(TEMPLATES))
+_WINDOW = 2 * SLACK
 
 OP5 = f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-rules(rule, label, base, share, rule_words, key_words, key_at) AS (VALUES {_RULES}),
-spot AS (SELECT doc_id, ws, p.w, p.i FROM (
-  SELECT doc_id, ws, unnest(list_transform(ws, lambda w, i: {{'w': w, 'i': i - 1}})) AS p FROM d)),
-met AS (
-  SELECT doc_id, rule, label, base, share, i - key_at AS start, len(list_filter(range(1, len(rule_words) + 1),
-    lambda k: coalesce(ws[i - key_at + k] = rule_words[k], false))) / len(rule_words) AS got
-  FROM spot JOIN rules ON w = key_words[1] AND i >= key_at AND ws[i + 1:i + len(key_words)] = key_words),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+templates(template, label, base, whole, part, key_at) AS (VALUES {_TEMPLATES}),
+places AS (SELECT template, unnest(whole) AS word, unnest(range(len(whole))) AS place FROM templates),
+spot AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS spot_at FROM d),
+counts AS (SELECT word, count(DISTINCT r) AS df FROM spot WHERE word IN (SELECT word FROM places) GROUP BY word),
+weighed AS (
+  SELECT template, word, coalesce(df, 0) AS df,
+    floor(1000 * ln(((SELECT count(*) FROM d) + 1.0)::DOUBLE / (coalesce(df, 0) + 1.0)::DOUBLE))::BIGINT + 1 AS idf
+  FROM (SELECT DISTINCT template, word FROM places) LEFT JOIN counts USING (word)),
+held AS (SELECT * FROM weighed QUALIFY row_number() OVER (PARTITION BY template ORDER BY df, word) <= {RARE}),
+totals AS (SELECT template, sum(idf) AS total FROM held GROUP BY template),
+keys AS (
+  SELECT d.r, doc_id, template, label, base, spot_at AS start, spot_at - key_at AS rel
+  FROM spot JOIN templates t ON word = part[1] JOIN d USING (r) WHERE ws[spot_at + 1:spot_at + len(part)] = part),
+near AS (
+  SELECT DISTINCT r, template, floor((spot_at - place) / {_WINDOW}.0) + unnest([0, 1]) AS bucket, word, idf
+  FROM spot JOIN held USING (word) JOIN places USING (template, word) WHERE r IN (SELECT r FROM keys)),
+sums AS (SELECT r, template, bucket, sum(idf) AS got FROM near GROUP BY ALL),
+scored AS (
+  SELECT k.*, coalesce(got, 0)::DOUBLE / total::DOUBLE AS share
+  FROM (SELECT *, floor((rel + {SLACK}) / {_WINDOW}.0) AS bucket FROM keys) k JOIN totals USING (template)
+  LEFT JOIN sums USING (r, template, bucket)),
 per AS (
-  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
-    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(got) AS score
-  FROM met WHERE got >= share - 1e-9 GROUP BY doc_id)
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM scored GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
   last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   coalesce(score, 0)::DOUBLE AS score
-FROM d LEFT JOIN per USING (doc_id)
+FROM d LEFT JOIN per USING (r)
 """
 
 OP11 = f"""

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from loomseq.llm import decontamination, language_id, license_scan, line_dedup, packing, quality, suffix_tree_lm as lm
@@ -241,6 +242,51 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("Mozilla Public License Version 2.0", "mpl-2"), ("GNU General Public License version 3 29 June 2007", "gpl-3"),
+    ("This file is under the terms of the GNU General Public License version 3", "gpl-3"), ("SPDX-License-Identifier: Apache-2.0", "apache-2"),
+    ("CC BY-SA 4.0", "cc-by-sa"), ("SPDX-License-Identifier: MIT", "mit"), ("the GNU Lesser General Public License", "lgpl"), ("public license", "")])
+def test_plain_license_texts(spark, text, labels):
+    assert license_scan.scan_licenses(frame(spark, [(1, text, "en"), (2, "unlike words", "en")])).where("doc_id = 1").first().labels == labels
+
+
+def licenses_by_hand(rows):
+    """Labels and scores by looking at every word of every text."""
+    bags = [words(t) for _, t in rows]
+    df = collections.Counter(w for ws in bags for w in set(ws))
+    idf = lambda w: math.floor(1000 * math.log((len(rows) + 1) / (df[w] + 1))) + 1
+    out = []
+    for (doc, _), ws in zip(rows, bags):
+        labels, best = set(), 0.0
+        for t in license_scan.TEMPLATES:
+            whole, part = t.text.split(), t.key.split()
+            rare = sorted(set(whole), key=lambda w: (df[w], w))[:license_scan.RARE]
+            for at in range(len(ws)):
+                if ws[at:at + len(part)] == part:
+                    width = 2 * license_scan.SLACK
+                    middle = (at - t.key_at + license_scan.SLACK) // width
+                    met = {w for p, w in enumerate(ws) if w in rare for q, v in enumerate(whole) if v == w and (p - q) // width in (middle, middle - 1)}
+                    labels.add(t.label)
+                    best = max(best, sum(map(idf, met)) / sum(map(idf, rare)))
+        out.append((doc, len(ws), ",".join(sorted(labels)), best))
+    return out
+
+
+def test_licenses_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    noise = lambda n: " ".join(rng.choice(["the", "license", "version", "free", "software", "of", "house", "2", "public", "word"], n))
+    rows = []
+    for k in range(80):
+        ws = license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)].text.split()
+        lo = int(rng.integers(0, max(1, len(ws) // 2)))
+        some = [w for w in ws[lo:] if rng.random() > 0.05]
+        rows.append((k, f"{noise(rng.integers(0, 40))} {' '.join(some)} {noise(rng.integers(0, 60))}"))
+    got = [(r.doc_id, r.n_words, r.labels, r.score) for r in license_scan.scan_licenses(frame(spark, [(*r, "en") for r in rows])).orderBy("doc_id").collect()]
+    want = licenses_by_hand(rows)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+    assert sum(bool(w[2]) for w in want) > 40 and any(0 < w[3] < 1 for w in want)
+
+
 # --- quality ---
 
 def test_quality_of_held_out_texts(spark):
