@@ -21,7 +21,7 @@ HEADLINE = (
     "tokenize_docs", "shard_assign", "doc_shuffle_rank", "pack_bins", "packed_sequences", "packing_loss",
     "sequence_summary", "structure_arrays", "attention_reach", "mask_block_occupancy", "masked_loss",
     "marker_accuracy", "encode_docs", "subject_accuracy", "scaled_scores", "log_softmax", "doc_slices",
-    "raw_shard_round_trip", "stream_shard_assign",
+    "raw_shard_round_trip", "stream_shard_assign", "mask_tiles", "logit_loss", "token_cap_early",
 )
 
 
