@@ -67,7 +67,7 @@ def _per_group(owner: np.ndarray, codes: np.ndarray, kinds: int, groups: int) ->
 
 def text_features(texts: pa.Array) -> np.ndarray:
     """Feature values of each text: (texts, features). Null and empty texts have zeros."""
-    texts = pc.fill_null(texts, "")
+    texts = pc.fill_null(texts, "").cast(pa.string())  # 64-bit offsets too: a slice is far below 2 GB
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]

@@ -386,3 +386,8 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(frame(spark, [])).count() == 0
     twice = packing.pack_documents(frame(spark, [(None, "a b", "en"), (None, "a b", "en")])).collect()
     assert sum(r.length for r in twice) == 6 and {r.doc_id for r in twice} == {None}
+
+
+def test_quality_features_of_64_bit_offsets():
+    texts = ["One, two. Three!", None, "", "é" * 30]
+    assert np.array_equal(quality.text_features(pa.array(texts)), quality.text_features(pa.array(texts, pa.large_string()).slice(0)))
