@@ -3,10 +3,17 @@
 The tree predicts the bytes of a text (A-Z lower-cased, words separated by one
 space, an end mark behind). A context of up to ``depth`` bytes stays in the
 tree if it is frequent enough and its next-byte distribution diverges from that
-of its longest proper suffix; both tests are relative to the corpus, so the
-number of contexts is bounded by ``depth / min_share`` at any size. The
+of its longest proper suffix by a likelihood-ratio test at a fixed level. The
 distribution of a context is smoothed with that of its suffix. The tree becomes
 an automaton whose state is the longest context that ends at the current byte.
+It is broadcast, so its contexts are bounded by ``depth / min_share`` at any size.
+
+What is too rare for such a context comes in by whole words, whose counts stay
+in Spark and have no bound: the chance of a word is its share in the training
+texts, mixed at a fixed weight with the chance that the tree spells it behind
+the bytes before it. The two weigh alike whatever the size of the corpus; an
+unknown word has the second part alone. Whether a space or the end follows a
+word is left to the tree.
 
 Counts of byte windows and of words come from all training texts and are
 combined before the shuffle. Words are joined with their counts by hash; the
@@ -40,8 +47,10 @@ class TreeSettings:
     depth: int = 6
     #: least share of the corpus' bytes that follow a context
     min_share: float = 5e-6
-    #: least gain of a context over its suffix, in nats per byte of the corpus
-    min_gain: float = 5e-8
+    #: normal quantile of the level of the likelihood-ratio test (one in a thousand)
+    level: float = 3.09
+    #: weight of a word's own share in its chance; the rest is the weight of its spelling
+    trust: float = 0.2
 
 
 # --- texts -----------------------------------------------------------------------------------
@@ -153,7 +162,45 @@ class Automaton:
         return cls(depth, symbol, step, np.log10(chance).astype(np.float32))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """log10 probability of each text. Long texts are cut into segments that start with ``depth`` bytes to find the state."""
+        """log10 probability of each text, spelled from its start to its end."""
+        symbols, begin, at = self.walk(texts)
+        spelled = np.append(0.0, np.cumsum(self.log.reshape(-1)[at], dtype=float))
+        return spelled[begin[1:] - self.depth] - spelled[begin[:-1]]
+
+    def spelled(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word of each text, in order: log10 probability that the tree spells it up to its boundary, and that the boundary is
+        the space or end that it is. The blank word of an empty text has only its end, as probability. Also, for each word, log10 of the
+        probability that a text isn't empty where it is the first of one, else 0."""
+        symbols, begin, at = self.walk(texts)
+        width, log = self.log.shape[1], self.log.reshape(-1).astype(float)
+        own = log[at]
+        space, end = self.symbol[0x20], self.symbol[END]
+        inside = np.zeros(len(at) + 1, dtype=np.int8)  # own bytes and end marks, not the start marks
+        np.add.at(inside, begin[:-1], 1)
+        np.add.at(inside, begin[1:] - self.depth, -1)
+        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        # symbols of bytes that never occur share one number, so bytes are compared
+        bound = np.flatnonzero(inside & ((symbols == 0x20) | (symbols == END)))
+        state = at[bound] - self.symbol[symbols[bound]]
+        either = np.log10(10.0 ** log[state + space] + 10.0 ** log[state + end])
+        own[~inside] = 0.0
+        own[bound] = 0.0
+        total = np.append(0.0, np.cumsum(own))
+        first = np.isin(bound, begin[:-1])  # an end without a word before it
+        ends = symbols[bound] == END
+        opens = np.append(True, ends[:-1]) if len(bound) else ends
+        word = np.diff(np.append(0.0, total[bound])) + either
+        kind = log[at[bound]] - either
+        some = np.where(opens, np.log10(-np.expm1(log[at[begin[:-1]] - self.symbol[symbols[begin[:-1]]] + end] * np.log(10.0)))[
+            np.cumsum(opens) - 1] if len(bound) else 0.0, 0.0)
+        word = np.where(first, 0.0, word - some)
+        return word, np.where(first, log[at[bound]], kind), np.where(first, 0.0, some)
+
+    def walk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The byte stream, where texts begin in it, and the place of each own byte in the tables of the automaton.
+
+        Long texts are cut into segments that start with ``depth`` bytes to find the state.
+        """
         stream, begin = byte_stream(texts, self.depth)
         lengths = begin[1:] - begin[:-1] - self.depth
         pieces = -(-lengths // SEGMENT)
@@ -164,16 +211,16 @@ class Automaton:
         order = np.argsort(-span, kind="stable")
         text, start, span = text[order], start[order], span[order]
         symbols = self.symbol[stream]
-        width, step, log = self.next.shape[1], self.next.reshape(-1), self.log.reshape(-1)
+        width, step = self.next.shape[1], self.next.reshape(-1)
         state = np.zeros(len(text), dtype=np.int64)
-        got = np.zeros(len(text))
+        places = np.zeros(len(stream), dtype=np.int64)
         for k in range(-self.depth, int(span.max(initial=0))):
             live = len(span) if k < 0 else int(np.searchsorted(-span, -k, "left"))
             at = state[:live] * width + symbols[start[:live] + k]
             if k >= 0:
-                got[:live] += log[at]
+                places[start[:live] + k] = at
             state[:live] = step[at]
-        return np.bincount(text, got, len(lengths))
+        return stream, begin, places
 
 
 def frequent_contexts(windows: DataFrame, settings: TreeSettings) -> DataFrame:
@@ -194,10 +241,13 @@ def frequent_contexts(windows: DataFrame, settings: TreeSettings) -> DataFrame:
     shorter = frequent.select(
         (F.col("len") + 1).alias("len"), F.col("ctx").alias("suffix"), "sym", (F.col("n") / F.col("all")).alias("q"))
     own = frequent.where("len > 0").withColumn("suffix", F.col("ctx").bitwiseAND(F.expr("shiftleft(1L, 8 * (len - 1)) - 1")))
+    # twice the gain in log-likelihood is distributed as chi-squared; its quantile by the cube-root approximation
+    free = F.greatest(F.count(F.lit(1)) - 1, F.lit(1)) * 1.0
+    quantile = free * F.pow(1 - 2 / (9 * free) + settings.level * F.sqrt(2 / (9 * free)), F.lit(3.0))
     gain = own.join(shorter, ["len", "suffix", "sym"]).groupBy("len", "ctx").agg(
-        (F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("q"))) / max(total, 1)).alias("gain"))
+        (2 * F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("q"))) >= quantile).alias("apart"))
     return frequent.join(gain, ["len", "ctx"], "left").select(
-        "len", "ctx", "sym", "n", F.coalesce(F.col("gain") >= settings.min_gain, F.lit(False)).alias("apart"))
+        "len", "ctx", "sym", "n", F.coalesce("apart", F.lit(False)).alias("apart"))
 
 
 # --- the two scans ---------------------------------------------------------------------------
@@ -227,8 +277,8 @@ def _count(depth: int):
     return run, "kind tinyint, key long, n long, everywhere long"
 
 
-def _score(model, common):
-    """Rows (row, key, slot, n, x): slot 0 a word and its number, the others what is known of the text itself."""
+def _score(model, common, shares):
+    """Rows (row, key, slot, n, x): slot 0 a rare word and how it is spelled, the others what is known of the text itself."""
 
     def run(batches):
         automaton, (common_keys, common_counts) = Automaton(*model.value), common.value
@@ -240,27 +290,30 @@ def _score(model, common):
                 coded = words.flatten().dictionary_encode()
                 distinct = len(coded.dictionary)
                 text = np.repeat(np.arange(len(part)), pc.list_value_length(words).to_numpy())
-                pairs, n = np.unique(text * max(distinct, 1) + coded.indices.to_numpy(), return_counts=True)
-                text, code = np.divmod(pairs, max(distinct, 1))
+                code = coded.indices.to_numpy()
                 hashes = word_hashes(coded.dictionary)
                 blank = ~pc.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(common_keys, hashes), max(len(common_keys) - 1, 0))
                 is_common = (common_keys[at] == hashes) & ~blank if len(common_keys) else np.zeros(distinct, dtype=bool)
                 count = np.where(is_common, common_counts[at] if len(common_keys) else 0, 0)
-                base = np.bincount(text, n * np.log10(count + 1)[code], len(part))
-                known = np.bincount(text, n * (count > 0)[code], len(part)).astype(np.int64)
-                tokens = np.bincount(text, n * ~blank[code], len(part)).astype(np.int64) + 1
-                score = automaton.scores(joined)
+                base = np.bincount(text, np.log10(count + 1)[code], len(part))
+                known = np.bincount(text, (count > 0)[code], len(part)).astype(np.int64)
+                tokens = np.bincount(text, ~blank[code], len(part)).astype(np.int64) + 1
+                word, kind, some = automaton.spelled(joined)
                 rest = ~(is_common | blank)[code]
+                of_count, of_spelling = shares  # of one occurrence, of the whole chance
+                mixed = np.log10(of_count * count[code] + of_spelling * 10.0**word)
+                mixed = np.where(count[code] > 0, mixed, word + np.log10(of_spelling))
+                score = np.bincount(text, kind + some + np.where(is_common[code], mixed, 0.0), len(part))
                 mine = row + np.arange(len(part))
                 row += len(part)
                 yield pa.RecordBatch.from_pydict({
                     "row": pa.array(np.concatenate((mine[text[rest]], np.tile(mine, 3)))),
                     "key": pa.array(np.concatenate((hashes[code[rest]], np.tile(mine, 3)))),
                     "slot": pa.array(np.repeat(np.arange(4, dtype=np.int8), (int(rest.sum()), *[len(part)] * 3))),
-                    "n": pa.concat_arrays([pa.array(n[rest]), part.column(0), pa.array(2 * tokens + part.column(2).to_numpy(
+                    "n": pa.concat_arrays([pa.array(np.ones(int(rest.sum()), dtype=np.int64)), part.column(0), pa.array(2 * tokens + part.column(2).to_numpy(
                         zero_copy_only=False)), pa.array(known)]),
-                    "x": pa.array(np.concatenate((np.zeros(int(rest.sum())), base, score, np.zeros(len(part)))))})
+                    "x": pa.array(np.concatenate((word[rest].astype(np.float32), base, score, np.zeros(len(part)))))})
 
     return run, "row long, key long, slot tinyint, n long, x double"
 
@@ -270,10 +323,10 @@ def score_texts(docs: DataFrame, *, held_out: Column, settings: TreeSettings = T
 
     Returns one row per input row: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score (words, each text ended by one more token, add-one
-    smoothed), score (log10 probability of the text under the tree).
+    smoothed), score (log10 probability of the text: words by their counts, smoothed with their spelling by the tree).
     Null text is empty: its end mark alone. A null ``held_out`` (null doc_id) counts
     as learning. Rows are scored one by one, repeated ones too; with nothing to learn
-    from, the tree is uniform and every word unknown. Other columns are ignored.
+    from, the tree is uniform and every word spelled by it. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -294,18 +347,22 @@ def score_texts(docs: DataFrame, *, held_out: Column, settings: TreeSettings = T
     common = words.where(F.col("everywhere") >= COMMON_SHARE * max(everywhere, 1)).select("key", "n").toArrow().sort_by("key")
     common = spark.sparkContext.broadcast(tuple(common.column(c).to_numpy() for c in ("key", "n")))
 
-    score, schema = _score(model, common)
+    shares = (settings.trust / learnt, 1 - settings.trust) if learnt else (0.0, 1.0)
+    score, schema = _score(model, common, shares)
     found = rows.select("doc_id", "text", "held_out").mapInArrow(score, schema)
     rare = words.where((F.col("everywhere") < COMMON_SHARE * max(everywhere, 1)) & (F.col("n") > 0)).select(
         "key", F.col("n").alias("c"))
     joined = found.join(rare.hint("shuffle_hash"), "key", "left")
     is_word, c = F.col("slot") == 0, F.coalesce("c", F.lit(0))
+    # a long unknown word has a chance below the least double, so unknown ones stay logarithms
+    chance = F.when(c > 0, F.log10(c * F.lit(shares[0]) + F.lit(shares[1]) * F.pow(F.lit(10.0), F.col("x")))).otherwise(
+        F.col("x") + F.log10(F.lit(shares[1])))
     per = joined.groupBy("row").agg(
         F.max(F.when(F.col("slot") == 1, F.col("n"))).alias("doc_id"),
         F.max(F.when(F.col("slot") == 2, F.col("n"))).alias("about"),
         F.sum(F.when(is_word, F.when(c > 0, F.col("n"))).when(F.col("slot") == 3, F.col("n"))).alias("n_known"),
         F.sum(F.when(is_word, F.col("n") * F.log10(c + 1)).when(F.col("slot") == 1, F.col("x"))).alias("base"),
-        F.sum(F.when(F.col("slot") == 2, F.col("x"))).alias("score"))
+        F.sum(F.when(is_word, chance).when(F.col("slot") == 2, F.col("x"))).alias("score"))
     n_tokens = F.floor(F.col("about") / 2)
     return per.select(
         "doc_id", (F.col("about") % 2 == 1).alias("held_out"), n_tokens.alias("n_tokens"),

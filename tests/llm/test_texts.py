@@ -364,6 +364,76 @@ def test_automaton_follows_the_longest_context():
     assert np.allclose(model.scores(joined), want, atol=1e-3)
 
 
+def test_words_are_spelled_whole():
+    joined = lm.prepared(pa.array(["abra cad abra", "", "é", "b " * 700, " a "]))[1]
+    keys, n = lm.window_counts(joined, 2)
+    rows = collections.Counter()
+    for key, c in zip(keys.tolist(), n.tolist()):
+        for k in range(3):
+            rows[k, (key >> 8) & ((1 << 8 * k) - 1), key & 255] += c
+    model = lm.Automaton.grown(2, pa.table({
+        "len": [r[0] for r in rows], "ctx": [r[1] for r in rows], "sym": [r[2] for r in rows], "n": list(rows.values()),
+        "apart": [r[0] > 0 for r in rows]}))
+    word, kind, some = model.spelled(joined)
+    of = np.repeat(np.arange(5), [3, 1, 1, 700, 1])
+    assert np.allclose(np.bincount(of, word + kind + some), model.scores(joined), atol=1e-4)
+    assert word[3] == 0 and (np.count_nonzero(some) == 4) and (word <= 1e-9).all() and (kind <= 1e-9).all()
+
+
+def test_scores_against_plain_mixture(spark):
+    rows = [(i, t) for i, t in enumerate(["the cat sat", "", "A cat  and\ta dog", "the the", None, "zebra", "é cat", "dog " * 300] * 2)]
+    settings = lm.TreeSettings(depth=2, min_share=0.0, level=-1e3, trust=0.3)
+    got = lm.score_texts(frame(spark, [(*r, "en") for r in rows]), held_out=remainder(7) == 2, settings=settings).collect()
+    plain = [" ".join((t or "").lower().split()).encode() for _, t in rows]
+    learnt = [t for (i, _), t in zip(rows, plain) if not held(i, 7, 2)]
+    of = collections.defaultdict(collections.Counter)
+    for t in learnt:
+        stream = b"\xff\xff" + t + b"\n"
+        for at in range(2, len(stream)):
+            for k in range(3):
+                of[stream[at - k : at]][stream[at]] += 1
+    count = collections.Counter(w for t in learnt for w in t.split())
+
+    def chance(context, sym):
+        p = (of[b""][sym] + 1) / (sum(of[b""].values()) + 256)
+        for k in (1, 2):
+            seen = of.get(context[-k:])
+            if seen is None:
+                break
+            p = (seen[sym] + len(seen) * p) / (sum(seen.values()) + len(seen))
+        return p
+
+    def score(t):
+        stream, empty = b"\xff\xff" + t + b"\n", chance(b"\xff\xff", 10)
+        if not t:
+            return math.log10(empty)
+        total, at = math.log10(1 - empty), 2
+        for w in t.split():
+            spelled = 1 / (1 - empty) if at == 2 else 1.0
+            for b in w:
+                spelled, at = spelled * chance(stream[at - 2 : at], b), at + 1
+            either = chance(stream[at - 2 : at], 32) + chance(stream[at - 2 : at], 10)
+            total += math.log10(0.3 * count[w] / sum(count.values()) + 0.7 * spelled * either)
+            total, at = total + math.log10(chance(stream[at - 2 : at], stream[at]) / either), at + 1
+        return total
+
+    want = {i: score(t) for (i, _), t in zip(rows, plain)}
+    assert all(abs(r.score - want[r.doc_id]) < 1e-3 for r in got) and len(got) == len(rows)
+
+
+def test_rare_words_and_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").unionByName(docs.selectExpr("1000000L + doc_id", "concat('qj', doc_id, 'vx ', doc_id)").limit(40).toDF("doc_id", "text"))
+    once, never = ({r.doc_id: r.score for r in lm.score_texts(rows, held_out=out).where("doc_id >= 1000000").collect()}
+                   for out in (F.lit(False), F.col("doc_id") >= 1000000))
+    assert all(once[i] > never[i] + 2 for i in once)  # a single occurrence among 400,000 words is remembered
+    bits = {}
+    for trust in (1e-9, lm.TreeSettings().trust):
+        got = lm.score_texts(docs, held_out=remainder(7) == 2, settings=lm.TreeSettings(trust=trust)).where("held_out")
+        bits[trust] = got.agg(F.sum("score")).first()[0]
+    assert bits[lm.TreeSettings().trust] > bits[1e-9]  # held-out texts are likelier than by spelling alone
+
+
 # --- packing ---
 
 def test_packing_round_trip(spark):
