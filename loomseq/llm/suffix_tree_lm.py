@@ -36,8 +36,8 @@ from .common import written
 COMMON_SHARE = 1e-5
 #: bytes that mark the end and the space before the start; neither occurs in prepared UTF-8
 END, START = 0x0A, 0xFF
-#: bytes of text worked on at once
-SLICE_BYTES = 2_500_000
+#: bytes of text worked on at once: when counting, where large slices combine more, and when scoring
+SLICE_BYTES, SCORE_BYTES = 2_500_000, 800_000
 #: steps that the automaton makes along each segment
 SEGMENT = 256
 
@@ -62,12 +62,12 @@ def prepared(texts: pa.Array) -> tuple[pa.ListArray, pa.Array]:
     return words, pc.binary_join(words, " ")
 
 
-def _slices(texts: pa.Array):
-    """Bounds of runs of texts with about ``SLICE_BYTES``."""
+def _slices(texts: pa.Array, size: int = SLICE_BYTES):
+    """Bounds of runs of texts with about ``size`` bytes."""
     total = np.cumsum(pc.binary_length(texts).to_numpy())
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + SLICE_BYTES, "right")))
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + size, "right")))
         yield first, last
         first = last
     pa.default_memory_pool().release_unused()
@@ -164,7 +164,7 @@ class Automaton:
     def scores(self, texts: pa.Array) -> np.ndarray:
         """log10 probability of each text, spelled from its start to its end."""
         symbols, begin, at = self.walk(texts)
-        spelled = np.append(0.0, np.cumsum(self.log.reshape(-1)[at], dtype=float))
+        spelled = np.append(0.0, np.cumsum(np.where(at >= 0, self.log.reshape(-1)[at], 0), dtype=float))
         return spelled[begin[1:] - self.depth] - spelled[begin[:-1]]
 
     def spelled(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,32 +172,30 @@ class Automaton:
         the space or end that it is. The blank word of an empty text has only its end, as probability. Also, for each word, log10 of the
         probability that a text isn't empty where it is the first of one, else 0."""
         symbols, begin, at = self.walk(texts)
-        width, log = self.log.shape[1], self.log.reshape(-1).astype(float)
+        log = self.log.reshape(-1)
         own = log[at]
         space, end = self.symbol[0x20], self.symbol[END]
-        inside = np.zeros(len(at) + 1, dtype=np.int8)  # own bytes and end marks, not the start marks
-        np.add.at(inside, begin[:-1], 1)
-        np.add.at(inside, begin[1:] - self.depth, -1)
-        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        inside = at >= 0  # own bytes and end marks, not the start marks
         # symbols of bytes that never occur share one number, so bytes are compared
         bound = np.flatnonzero(inside & ((symbols == 0x20) | (symbols == END)))
         state = at[bound] - self.symbol[symbols[bound]]
-        either = np.log10(10.0 ** log[state + space] + 10.0 ** log[state + end])
+        either = np.log10(10.0 ** log[state + space].astype(float) + 10.0 ** log[state + end].astype(float))
         own[~inside] = 0.0
         own[bound] = 0.0
-        total = np.append(0.0, np.cumsum(own))
+        total = np.append(0.0, np.cumsum(own, dtype=float))
         first = np.isin(bound, begin[:-1])  # an end without a word before it
         ends = symbols[bound] == END
-        opens = np.append(True, ends[:-1]) if len(bound) else ends
-        word = np.diff(np.append(0.0, total[bound])) + either
-        kind = log[at[bound]] - either
-        some = np.where(opens, np.log10(-np.expm1(log[at[begin[:-1]] - self.symbol[symbols[begin[:-1]]] + end] * np.log(10.0)))[
-            np.cumsum(opens) - 1] if len(bound) else 0.0, 0.0)
-        word = np.where(first, 0.0, word - some)
-        return word, np.where(first, log[at[bound]], kind), np.where(first, 0.0, some)
+        opens = np.append(True, ends[:-1])[: len(ends)]
+        starts = begin[:-1]
+        empty = log[at[starts] - self.symbol[symbols[starts]] + end].astype(float)
+        some = np.zeros(len(bound))
+        some[opens] = np.log10(1 - 10.0**empty)
+        some[first] = 0.0
+        word = np.where(first, 0.0, np.diff(np.append(0.0, total[bound])) + either - some)
+        return word, log[at[bound]] - np.where(first, 0.0, either), some
 
     def walk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The byte stream, where texts begin in it, and the place of each own byte in the tables of the automaton.
+        """The byte stream, where texts begin in it, and the place of each own byte in the automaton's tables (-1 for start marks).
 
         Long texts are cut into segments that start with ``depth`` bytes to find the state.
         """
@@ -213,7 +211,7 @@ class Automaton:
         symbols = self.symbol[stream]
         width, step = self.next.shape[1], self.next.reshape(-1)
         state = np.zeros(len(text), dtype=np.int64)
-        places = np.zeros(len(stream), dtype=np.int64)
+        places = np.full(len(stream), -1, dtype=np.int64 if self.log.size >= 2**31 else np.int32)
         for k in range(-self.depth, int(span.max(initial=0))):
             live = len(span) if k < 0 else int(np.searchsorted(-span, -k, "left"))
             at = state[:live] * width + symbols[start[:live] + k]
@@ -284,7 +282,7 @@ def _score(model, common, shares):
         automaton, (common_keys, common_counts) = Automaton(*model.value), common.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for first, last in _slices(pc.fill_null(batch.column(1), "")):
+            for first, last in _slices(pc.fill_null(batch.column(1), ""), SCORE_BYTES):
                 part = batch.slice(first, last - first)
                 words, joined = prepared(part.column(1))
                 coded = words.flatten().dictionary_encode()
