@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import written
 
-COMMON_SHARE = 1e-5
+#: share of the corpus from which on a word is looked up in the scan: at most 500,000 words of 16 bytes
+COMMON_SHARE = 2e-6
 #: bytes that mark the end and the space before the start; neither occurs in prepared UTF-8
 END, START = 0x0A, 0xFF
 #: bytes of text worked on at once: when counting, where large slices combine more, and when scoring
