@@ -142,3 +142,20 @@ def test_band_keys_follow_the_rows(bad):
     y[:, 5] += 1
     same = bagminhash.band_keys(x, settings) == bagminhash.band_keys(y, settings)
     assert same[:, 0].all() and not same[:, 1].any()
+
+
+@pytest.mark.parametrize("width", [64, 256, 768, 1024])
+@pytest.mark.parametrize("cosine", [0.98, 0.985, 0.99])
+def test_recall_of_buckets(width, cosine):
+    rng = np.random.default_rng([width, round(1000 * cosine)])
+    a, other = rng.normal(size=(2, 500, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    b = cosine * a + np.sqrt(1 - cosine**2) * other
+    x, y = (embedding_dedup.bucket_codes(v, embedding_dedup.HashSettings()) for v in (a, b))
+    # a vector is stored in its first bucket of each table and looks into the others
+    met = ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any(axis=(1, 2))
+    assert met.mean() >= 0.99
+    strangers = ((x[:, :, :1] == np.roll(y, 1, axis=0)) | (np.roll(y, 1, axis=0)[:, :, :1] == x)).any(axis=(1, 2))
+    assert strangers.mean() < 0.1
