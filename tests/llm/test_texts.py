@@ -49,6 +49,52 @@ def test_language_of_odd_texts(spark):
     assert language_id.identify(df.limit(0), held_out=F.lit(False)).count() == 0
 
 
+def plain_languages(rows, dimensions, seed):
+    """Predictions by loops over letters: {doc_id: (cosines by language)}."""
+    vectors = {}
+
+    def letter(c):
+        if c not in vectors:
+            vectors[c] = np.random.default_rng([seed, ord(c)]).integers(0, 2, dimensions, dtype=np.int8) * 2.0 - 1
+        return vectors[c]
+
+    def bundle(text):
+        padded = "\n" + "".join(c if c.isalpha() else "\n" for c in text.lower()) + "\n"
+        counts = collections.Counter(padded[i - 1 : i + 2] for i in range(1, len(padded) - 1) if padded[i] != "\n")
+        total = np.zeros(dimensions)
+        for (a, b, c), n in counts.items():
+            total += math.sqrt(n) * np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+        return total
+
+    def unit(v):
+        return v / np.linalg.norm(v)
+
+    sums = {}
+    for _, text, lang in rows:
+        if lang:
+            sums[lang] = sums.get(lang, 0) + bundle(text)
+    prototypes = {lang: unit(v) for lang, v in sums.items()}
+    mean = sum(prototypes.values()) / len(prototypes)
+    return {i: {lang: float(unit(v - mean) @ unit(unit(bundle(text)) - mean)) for lang, v in prototypes.items()} for i, text, _ in rows}
+
+
+def test_languages_equal_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    letters = {"en": "etaoinshrdlu", "fr": "esaitnrulodcéàç", "ru": "оеаинтсрвлкм"}
+    rows = []
+    for i in range(60):
+        lang = sorted(letters)[i % 3]
+        text = " ".join("".join(rng.choice(list(letters[lang]), rng.integers(1, 9))) for _ in range(rng.integers(1, 40)))
+        rows.append((i, text.title() + rng.choice(["", " 12!", "\n\n-- x"]), lang if i < 45 else None))
+    settings = language_id.HyperSettings(dimensions=128)
+    want = plain_languages(rows, 128, settings.seed)
+    got = language_id.identify(frame(spark, rows), held_out=F.lit(False), settings=settings).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        best = max(want[r.doc_id].values())
+        assert want[r.doc_id][r.lang_pred] >= best - 1e-4 and abs(r.score - min(max(best, 0), 1)) < 1e-4
+
+
 # --- lines ---
 
 def similar(a, b):
