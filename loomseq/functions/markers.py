@@ -35,13 +35,18 @@ def insert_markers(ids: Column, stride: int, marker_id: int) -> Column:
     """
     if stride <= 0:
         return ids
-    size = F.size(ids)
-    chunks = F.floor((size + F.lit(stride - 1)) / F.lit(stride)).cast("int")
-    with_tail_marker = F.flatten(F.transform(
-        F.sequence(F.lit(0), chunks - 1),
-        lambda i: F.concat(F.slice(ids, i * stride + 1, F.lit(stride)), int_array(marker_id)),
-    ))
-    return F.when(size > stride, F.slice(with_tail_marker, F.lit(1), size + chunks - 1)).otherwise(ids)
+
+    def marked(ids: Column) -> Column:
+        size = F.size(ids)
+        chunks = F.floor((size + F.lit(stride - 1)) / F.lit(stride)).cast("int")
+        with_tail_marker = F.flatten(F.transform(
+            F.sequence(F.lit(0), chunks - 1),
+            lambda i: F.concat(F.slice(ids, i * stride + 1, F.lit(stride)), int_array(marker_id)),
+        ))
+        return F.when(size > stride, F.slice(with_tail_marker, F.lit(1), size + chunks - 1)).otherwise(ids)
+
+    # as a lambda's variable: an expression for the ids would be made again for every chunk
+    return F.get(F.transform(F.array(ids), marked), F.lit(0))
 
 
 def insert_markers_with_labels(

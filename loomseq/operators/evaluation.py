@@ -34,7 +34,11 @@ def item_choices(items: DataFrame) -> DataFrame:
 
 def valid_items(items: DataFrame) -> DataFrame:
     """Items with a question, at least one choice and an answer."""
-    return item_choices(items).where(
+    made = item_choices(items)
+    # unfolded from an array of one: the filter reads the texts and doesn't make those of computed items again
+    texts = F.inline(F.array(F.struct("question", "ch")))
+    rest = [c for c in items.columns if c != "question"]
+    return made.select(*rest, texts).select(*made.columns).where(
         (F.col("question") != "") & (F.size("ch") > 0) & F.col("answer").isNotNull())
 
 

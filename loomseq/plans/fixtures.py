@@ -24,11 +24,10 @@ def multiple_choice(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     kinds = F.when(d % 6 == 0, "B").when(d % 6 == 1, " c) because").when(d % 6 == 2, "").when(
         d % 6 == 3, "2").when(d % 6 == 4, "1")
-    words = W.words(F.col("text"))
-    dealt = lambda to: F.array_join(F.filter(words, lambda w, i: to(i % 16)), " ")
+    dealt = lambda to: F.array_join(F.filter("__words", lambda w, i: to(i % 16)), " ")
     choices = lambda n: F.filter(
         F.array(*[dealt(lambda k, c=c: k == c) for c in range(n)]), lambda text: text != "")
-    return documents.select(
+    return documents.select("source", "doc_id", W.words(F.col("text")).alias("__words")).select(
         F.col("source").alias("subject"), d.alias("item_id"),
         F.when(d % 11 == 0, "").otherwise(dealt(lambda k: k >= F.when(d % 7 == 0, 3).otherwise(4))).alias("question"),
         F.when(d % 7 != 0, choices(4)).alias("choices"),

@@ -25,7 +25,7 @@ from ..operators import pages as G
 from ..operators import sharding as S
 from ..operators import structure as L
 from ..operators import vocabulary as Y
-from ..session import materialise, new_folder
+from ..session import materialise, new_folder, spread_by
 from ..sources import metric_sink, raw_shards, shard_table
 from ..sources.corpus import read_conversations, read_corpus, read_subjects, repeated_pair, stream_corpus
 from ..streaming import jobs as R
@@ -360,10 +360,11 @@ def maybe_append_marker(spark, sf):
 
 def _prompts(spark, sf) -> DataFrame:
     """bos + prompt + choice with labels and markers, for every choice of every valid item."""
-    items = E.expand_choices(E.valid_items(fixtures.multiple_choice(_documents(spark, sf))))
-    coded = items.select(
-        "item_id", "choice_idx", W.word_hash_tokens(E.format_prompt(F.col("question"), F.col("ch"))).alias("p"),
-        W.word_hash_tokens(F.col("completion")).alias("c"))
+    docs = spread_by(_documents(spark, sf).select("doc_id", "source", "text"), "doc_id")
+    items = E.valid_items(fixtures.multiple_choice(docs))
+    # hashed before the choices unfold: once per item
+    prompts = items.select("item_id", "ch", W.word_hash_tokens(E.format_prompt(F.col("question"), F.col("ch"))).alias("p"))
+    coded = E.expand_choices(prompts).select("item_id", "choice_idx", "p", W.word_hash_tokens(F.col("completion")).alias("c"))
     tokens, labels = M.prompt_sequence(F.col("p"), F.col("c"), stride=7, marker_id=W.MARKER_ID, bos_id=W.BOS_ID)
     return coded.select("item_id", "choice_idx", tokens.alias("tokens"), labels.alias("labels"))
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from loomseq.operators import evaluation as E
 from loomseq.operators import joins as J
 from loomseq.operators import metrics as X
 from loomseq.operators import vocabulary as Y
-from loomseq.plans import jobs
+from loomseq.plans import jobs, queries
 
 
 def test_answers(spark):
@@ -115,3 +116,18 @@ def test_metrics(spark):
     assert sorted(r.step for r in X.log_steps(steps, 10).collect()) == [0, 1, 10, 20]
     assert sorted(r.step for r in X.eval_steps(steps, 10).collect()) == [0, 10, 20]
     assert sorted(r.pos for r in X.marker_rows(df, C).collect()) == [1, 3]
+
+
+def _corpus_of(spark, path):
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice(["ab", "c", "def", "g"]) for _ in range(n))
+    rows = [(i, words(rng.choice([0, 1, 5, 40, 200])), "src1") for i in range(40)] + [(50, None, "src1"), (None, words(9), "src2")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_texts_of_items_are_made_once(spark, tmp_path):
+    """Neither the filter of valid items nor the choices of an item repeat the work on its texts."""
+    plan = queries.prompt_sequences(spark, _corpus_of(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1
+    assert plan.index("posexplode") < plan.index("Answer:")  # upper nodes come first

@@ -24,6 +24,15 @@ def test_insert_markers(arrays, stride):
         assert [t for t in r.m if t != C] == r.ids
 
 
+def test_computed_ids_are_made_once(arrays):
+    """Ids that an expression makes aren't made again for every chunk."""
+    marked = arrays.select("ids", M.insert_markers(F.concat("ids", F.reverse("ids")), 7, C).alias("m"))
+    for r in marked.collect():
+        assert r.m == plain.with_markers(r.ids + r.ids[::-1], 7, C)
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+    assert arrays.select(M.insert_markers(F.lit(None).cast("array<int>"), 7, C)).first()[0] is None
+
+
 def test_labels_follow_tokens(spark):
     df = spark.createDataFrame([([10, 11, 12, 20, 21], [0, 0, 0, 1, 1])], "t array<int>, l array<int>")
     t, l = M.insert_markers_with_labels(F.col("t"), F.col("l"), 2, C)
