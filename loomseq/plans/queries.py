@@ -375,9 +375,10 @@ def prompt_sequences(spark, sf):
 
 def choice_targets(spark, sf):
     """Positions of every prompt sequence whose next token belongs to the choice."""
-    # written, or the hashes of a prompt would be made again for every position of its labels
-    long = materialise(_prompts(spark, sf)).select("item_id", "choice_idx", F.posexplode("labels").alias("pos", "label"))
-    found = X.choice_targets(long, key=["item_id", "choice_idx"])
+    key = ["item_id", "choice_idx"]
+    # the labels are hashed on the key as arrays, so that their rows needn't be moved once they are unfolded
+    prompts = spread_by(_prompts(spark, sf).select(*key, "labels"), *key)
+    found = X.choice_targets(prompts.select(*key, F.posexplode("labels").alias("pos", "label")), key=key)
     return found.select("item_id", "choice_idx", F.col("pos").cast("bigint").alias("pos"))
 
 

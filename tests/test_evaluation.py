@@ -126,6 +126,17 @@ def _corpus_of(spark, path):
     return str(path)
 
 
+def test_choice_targets_follow_prompt_sequences(spark, tmp_path):
+    sf = _corpus_of(spark, tmp_path)
+    prompts = queries.prompt_sequences(spark, sf).collect()
+    want = {(r.item_id, r.choice_idx, i) for r in prompts for i, label in enumerate(r.labels.split(",")[1:]) if label == "1"}
+    got = queries.choice_targets(spark, sf)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 50
+    # rows are unfolded last and stay where they are
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("posexplode(labels")]
+
+
 def test_texts_of_items_are_made_once(spark, tmp_path):
     """Neither the filter of valid items nor the choices of an item repeat the work on its texts."""
     plan = queries.prompt_sequences(spark, _corpus_of(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
