@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import plain
@@ -145,6 +146,57 @@ def test_rests_come_out_in_time(spark, tmp_path):
     assert sorted(mine) == [(0, 1, False), (0, 6, True), (1, 3, False)] and set(sequences) == {(0, 0, 0)}
 
 
+class _Kept:
+    """One state variable of one group, kept in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getListState(self, name, schema):
+        return _Kept()
+
+    def registerTimer(self, at):
+        self.timer = at
+
+    def deleteTimer(self, at):
+        assert at == self.timer
+
+
+def test_groups_are_packed_row_by_row():
+    """A group's rows go in and out as rows: frames of a few rows cost more than packing them."""
+    rng = random.Random(8)
+    docs = [(d, rng.choice([0, 1, 2, 9, 30, None])) for d in range(200)]
+    state, processor, got = _Kept(), Q.OpenSequences(50, 7, 1_000, 10_000), []
+    processor.init(state)
+    for begin in range(0, 200, 40):
+        rows = [Row(turn=d, doc_id=d, len=n, arrived_ms=begin + 5) for d, n in docs[begin:begin + 40]]
+        rng.shuffle(rows)
+        got += processor.handleInputRows((0, 3, 1), iter(rows), None)
+        assert state.timer == begin + 1_005
+    want = plain.pack([(d, n or 0) for d, n in docs], 50)
+    assert [(r.epoch, r.shard_idx, r["rank"], r.bin, r.ord, r.doc_id, r.len, r.closed) for r in got] == [
+        (0, 3, 1, b, i, d, n, True) for b, packed in enumerate(want) for i, (d, n) in enumerate(packed)]
+    for r in got:
+        assert r.seq_start == sum(n + 2 + (n - 1) // 7 for _, n in want[r.bin][:r.ord])
+
+
 # --- raw shards ---
 
 def shard_rows(spark, shards=6, per=5):
