@@ -201,6 +201,30 @@ def test_line_links_equal_all_pairs(spark):
     assert pairs(lambda i: part.get(i, i)) == pairs(lambda i: root[i])
 
 
+def test_links_of_short_lines_equal_all_pairs(spark):
+    """Whatever words they have: slips in lines of one or two words, blanks lost or put in, numbered lines."""
+    rng = np.random.default_rng(11)
+    lines = {"la ja", "la ra", "eding in", "eding enin", "somewhat", "some what", *(f"page {k}" for k in range(120))}
+    for _ in range(220):
+        line = "".join(rng.choice(list("abcdeé  "), rng.integers(3, line_dedup.SHORT + 1)))
+        for _ in range(3):
+            lines.add(" ".join(line.split()))
+            at = rng.integers(0, len(line))
+            line = line[:at] + rng.choice(list("abé ") + [""]) + line[at + rng.integers(0, 2):]
+    lines = sorted(x for x in lines if 0 < len(x) <= line_dedup.SHORT)
+    parts, groups = line_dedup.line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    number = {r.node: r.doc_id for r in parts.select("doc_id", "node").collect()}
+    part = {number[r.node]: number[r.component] for r in groups.collect()}
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a)]
+    near = lambda x, y: abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and similar(x, y) >= 0.8
+    links = [(a, b) for a, b in pairs if near(lines[a], lines[b])]
+    root = list(range(len(lines)))
+    for a, b in links:
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(links) > 300
+    assert [(lines[a], lines[b]) for a, b in pairs if (part.get(a, a) == part.get(b, b)) != (root[a] == root[b])] == []
+
+
 def test_many_lines_of_one_document(spark):
     rng = np.random.default_rng(6)
     lines = ["".join(map(chr, rng.integers(97, 123, 9))) + " and " + "".join(map(chr, rng.integers(97, 123, 12))) for _ in range(5_000)]
