@@ -201,6 +201,30 @@ def test_line_links_equal_all_pairs(spark):
     assert pairs(lambda i: part.get(i, i)) == pairs(lambda i: root[i])
 
 
+def test_long_lines_are_compared_by_the_stretches_between_anchors(spark, monkeypatch):
+    """What is sure is a link; what isn't is compared as a whole, also where a bucket holds nothing else."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    base = [word(rng.integers(2, 10)) for _ in range(120)]
+    lines = [" ".join(word(6) if rng.random() < 0.06 else w for w in base) for _ in range(25)]
+    slips = [word(12 if k % 2 else 7) for k in range(60)]  # no two neighbours stay as they are
+    lines += [" ".join(slips), " ".join(w if k % 2 else w[:3] + "q" + w[3:] for k, w in enumerate(slips))]
+    lines += [" ".join(word(7) if k % 2 else w for k, w in enumerate(slips))]  # too many edits
+    rows = [(x, y) for x in lines for y in lines]
+    rows += [(" ".join(x.split()[:n]), " ".join(y.split()[:m])) for x, y in rows[::9] for n, m in ((1, 2), (2, 2), (30, 33), (70, 0))]
+    got = spark.createDataFrame(rows, "a string, b string").select(
+        "a", "b", line_dedup._surely_similar("a", "b", 0.8).alias("sure"), line_dedup._similar("a", "b", 0.8).alias("similar")).collect()
+    assert all(r.similar for r in got if r.sure)
+    assert all(r.similar == r.sure for r in got if max(len(r.a), len(r.b)) <= line_dedup.WHOLE or len(set(r.a.split()) & set(base)) > 90 < len(set(r.b.split()) & set(base)))
+    seen = {}
+    keep = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: seen.setdefault(name, keep(df, name)))
+    parts, groups = line_dedup.line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert seen["apart"].count() <= 3  # of 328 pairs
+    part = {r.doc_id: r.component for r in parts.join(groups, "node").collect()}
+    assert sorted(part) == list(range(27)) and len({part[k] for k in range(25)}) == 1 and part[25] == part[26] != part[0]
+
+
 def test_links_of_short_lines_equal_all_pairs(spark):
     """Whatever words they have: slips in lines of one or two words, blanks lost or put in, numbered lines."""
     rng = np.random.default_rng(11)
