@@ -225,6 +225,42 @@ def test_long_lines_are_compared_by_the_stretches_between_anchors(spark, monkeyp
     assert sorted(part) == list(range(27)) and len({part[k] for k in range(25)}) == 1 and part[25] == part[26] != part[0]
 
 
+def test_unlike_lines_with_a_common_passage_make_no_rows_of_pairs(spark, monkeypatch):
+    """All meet in the buckets of the passage's long words; in tiles of a few lines too, the links are those of all pairs."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = " ".join(word(14) for _ in range(8))
+    lines = [" ".join(word(6) for _ in range(12)) + " " + passage for _ in range(90)]
+    lines += [" ".join([word(6)] * (1 + k % 2) + x.split()[1 + k % 2:]) for k, x in enumerate(lines[:30])]
+    long = [" ".join(word(5) for _ in range(110)) + " " + " ".join([passage] * 2) for _ in range(12)]
+    lines += long + [" ".join(w if k % 2 or k > 109 else w[:2] + "q" + w[2:] for k, w in enumerate(x.split())) for x in long[:6]]  # found as a whole only
+    monkeypatch.setattr(line_dedup, "TILE", 16)
+    seen = []
+    keep = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    parts, groups = line_dedup.line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    number = {r.node: r.doc_id for r in parts.select("doc_id", "node").collect()}
+    part = {number[r.node]: number[r.component] for r in groups.collect()}
+    rows = [(a, b, lines[a], lines[b]) for a in range(len(lines)) for b in range(a)]
+    near = spark.createDataFrame(rows, "i int, j int, a string, b string").where(line_dedup._similar("a", "b", 0.8, (1,))).collect()
+    root = list(range(len(lines)))
+    for r in near:
+        root = [root[r.i] if x == root[r.j] else x for x in root]
+    assert len(near) > 30 and len(set(root)) > 90
+    assert [(a, b) for a, b, *_ in rows if (part.get(a, a) == part.get(b, b)) != (root[a] == root[b])] == []
+    assert {name: n for name, df in seen if (n := df.count()) > 10 * len(lines)} == {}  # 8,280 rows of pairs and more before
+
+
+def test_edits_are_those_between_what_lines_begin_and_end_with_alike(spark):
+    rng = np.random.default_rng(13)
+    texts = ["", "a", "aa", "aaa", "ab", "ba", "aba", "éa", "aé", "aéa", "x" * 70, "x" * 71, "x" * 40 + "yé" + "x" * 30]
+    texts += ["".join(rng.choice(list("ab é"), rng.integers(1, 40))) for _ in range(40)]
+    rows = [(x, y) for x in texts for y in texts] + [(f"{x}{y}{x}", f"{x}{z}{x}") for x, y, z in zip(texts, texts[5:], texts[9:])]
+    got = spark.createDataFrame(rows, "a string, b string").select(
+        F.expr(line_dedup._whole("a", "b", 0.8)).alias("x"), line_dedup._similar("a", "b", 0.8, (1,)).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and sum(r.x for r in got) > len(texts)
+
+
 def test_links_of_short_lines_equal_all_pairs(spark):
     """Whatever words they have: slips in lines of one or two words, blanks lost or put in, numbered lines."""
     rng = np.random.default_rng(11)
