@@ -355,7 +355,8 @@ def maybe_append_marker(spark, sf):
     docs = _tokens(spark, sf).withColumn("tokens", M.insert_markers(F.col("tokens"), 7, W.MARKER_ID))
     done = docs.withColumn("since", M.tokens_since_last_marker(F.col("tokens"), W.MARKER_ID)).withColumn(
         "closed", M.maybe_append_marker(F.col("tokens"), W.MARKER_ID, 7))
-    return done.select("doc_id", "since", F.size("closed").alias("length"), F.element_at("closed", -1).alias("last_id"))
+    # get, not element_at: an empty document has no last id
+    return done.select("doc_id", "since", F.size("closed").alias("length"), F.get("closed", F.size("closed") - 1).alias("last_id"))
 
 
 def _prompts(spark, sf) -> DataFrame:

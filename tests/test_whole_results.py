@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomseq.functions import words as W
 from loomseq.operators import evaluation as E, packing as P, vocabulary as Y
 from loomseq.plans import jobs, queries
 from loomseq.sources.corpus import read_corpus
@@ -50,3 +51,12 @@ def test_order_key_must_be_unique(spark):
         corpus = spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string")
         with pytest.raises(ValueError, match="unique"):
             jobs.index_corpus(corpus, settings)
+
+
+def test_empty_documents_get_no_marker(spark, tmp_path):
+    rows = [(1, "a b c"), (2, ""), (3, " \n"), (4, "x " * 9), (5, "x " * 7)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.maybe_append_marker(spark, str(tmp_path)).collect()}
+    assert {i: (r.since, r.length) for i, r in got.items()} == {1: (3, 3), 2: (0, 0), 3: (0, 0), 4: (2, 10), 5: (7, 8)}
+    assert got[2].last_id is None and got[3].last_id is None
+    assert got[5].last_id == W.MARKER_ID and got[1].last_id not in (None, W.MARKER_ID)
