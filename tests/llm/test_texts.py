@@ -2,14 +2,16 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomseq.llm import decontamination, language_id, license_scan, line_dedup, packing, quality, suffix_tree_lm as lm
+from loomseq.llm import common, decontamination, language_id, license_scan, line_dedup, packing, quality, suffix_tree_lm as lm
 from loomseq.llm.queries import remainder
 
 DOCS = "doc_id long, text string, lang string, node string, at int, score double"
@@ -251,6 +253,46 @@ def test_unlike_lines_with_a_common_passage_make_no_rows_of_pairs(spark, monkeyp
     assert {name: n for name, df in seen if (n := df.count()) > 10 * len(lines)} == {}  # 8,280 rows of pairs and more before
 
 
+def test_steps_of_line_dedup_free_their_disk(spark, monkeypatch, tmp_path):
+    """Shuffle files go when a step is written, tables when the removed lines are; later reads of the result need no more."""
+    files = lambda: set(re.findall(r"\S+/shuffle_\S+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    left = lambda: sum(Path(f).stat().st_size for f in files() - before if Path(f).exists())
+    before, names = files(), []
+    monkeypatch.setattr(common, "new_folder", lambda spark, name: names.append(f"{name}-{len(names)}") or f"{tmp_path}/{names[-1]}")
+    rows = [(k, f"the quick brown fox number {k // 2} jumps\nother words in line {k} of it", "en") for k in range(60)]
+    out = line_dedup.dedup_lines(frame(spark, rows))
+    for _ in range(100):  # files are removed after the call
+        if left() < 10_000:  # those of a count or a total stay
+            break
+        time.sleep(0.1)
+    assert left() < 10_000 and len(names) > 20
+    assert sorted(p.name for p in tmp_path.iterdir()) == names[-1:] and names[-1].startswith("removed-lines")
+    assert out.count() == 60 and out.agg(F.sum("n_removed")).first()[0] >= 30
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, out.select("*").collect()))
+
+
+def test_rounds_of_tiles_find_the_same_groups(spark, monkeypatch):
+    """A bucket of many tiles is compared in rounds, each with a bounded number of copies, and all its pairs are."""
+    rng = np.random.default_rng(21)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = " ".join(word(14) for _ in range(8))
+    lines = [" ".join(word(6) for _ in range(14)) + " " + passage for _ in range(70)]
+    lines += [" ".join([word(6)] * 2 + x.split()[2:]) for x in lines[:40]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    names, keep = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: names.append(name) or keep(df, name))
+    monkeypatch.setattr(line_dedup, "TILE", 8)
+
+    def groups():
+        parts, found = line_dedup.line_groups(docs)
+        return sorted((r.doc_id, r.component) for r in parts.join(found, "node").collect())
+
+    want, once = groups(), names.count("tiles-compared")
+    monkeypatch.setattr(line_dedup, "ROUND_BYTES", 1)
+    assert groups() == want and names.count("tiles-compared") - once > once == 2
+    assert [i for i, _ in want] == [*range(40), *range(70, 110)] and len({c for _, c in want}) == 40
+
+
 def test_edits_are_those_between_what_lines_begin_and_end_with_alike(spark):
     rng = np.random.default_rng(13)
     texts = ["", "a", "aa", "aaa", "ab", "ba", "aba", "éa", "aé", "aéa", "x" * 70, "x" * 71, "x" * 40 + "yé" + "x" * 30]
